@@ -1,0 +1 @@
+"""Registered queries: each operator over the given tables, with equivalent SQL where there is one."""

@@ -13,10 +13,10 @@ CONTINUOUS_FROM = 13
 def column_roles(df: DataFrame) -> DataFrame:
     """``(column, role, n_distinct, values)``, one row per column.
 
-    Numeric columns are continuous if they are floating-point, have 13 distinct
-    values or more, or exceed their number of distinct values; else discrete, with
-    the sorted values. Everything else is meta. A null is a value of its own, shown as
-    ``nan``. ``n_distinct`` is given for whole-number columns, where the role needs it.
+    Numeric columns are continuous if they are floating-point, have nulls, have 13
+    distinct values or more, or exceed their number of distinct values; else discrete,
+    with the values sorted as text. Everything else is meta. ``n_distinct`` (nulls not
+    counted) is given for whole-number columns, where the role needs it.
     """
     whole = [f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)]
     floating = [f.name for f in df.schema if isinstance(f.dataType, (T.FractionalType, T.DecimalType))]
@@ -32,13 +32,16 @@ def column_roles(df: DataFrame) -> DataFrame:
         .select("col.*")
         .distinct()
     )
-    counts = values.groupBy("column").agg(F.count("*").alias("n_distinct"), F.max("v").alias("top"))
-    discrete = counts.where((F.col("n_distinct") < CONTINUOUS_FROM) & (F.coalesce("top", F.lit(0)) <= F.col("n_distinct")))
+    counts = values.groupBy("column").agg(
+        F.count("v").alias("n_distinct"), F.max("v").alias("top"), F.bool_or(F.col("v").isNull()).alias("nulls")
+    )
+    few = (F.col("n_distinct") < CONTINUOUS_FROM) & (F.col("top") <= F.col("n_distinct"))
+    discrete = counts.where(few & ~F.col("nulls"))
     # At most 12 values for each column are collected here; one row per column is broadcast.
     listed = (
         values.join(F.broadcast(discrete.select("column")), "column")
         .groupBy("column")
-        .agg(F.array_sort(F.collect_list(F.coalesce(F.col("v").cast("string"), F.lit("nan")))).alias("values"))
+        .agg(F.array_sort(F.collect_list(F.col("v").cast("string"))).alias("values"))
     )
     judged = counts.join(F.broadcast(listed), "column", "left").select(
         "column",

@@ -1,0 +1 @@
+"""Row-wise operators over streams of reports."""
