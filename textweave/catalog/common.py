@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textweave.functions.text import regex_tokens
+from textweave.sources.files import spread
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """``(doc_id, text)`` of all documents, on all cores."""
+    return spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
     """``(doc_id, tokens)`` of all documents."""
-    return load(spark, sf, "documents").select("doc_id", regex_tokens(F.col("text")).alias("tokens"))
+    return documents(spark, sf).select("doc_id", regex_tokens(F.col("text")).alias("tokens"))
 
 
 def digest(words: str | Column) -> Column:
@@ -51,7 +57,7 @@ from {orders}
 
 
 def reports(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(REPORTS, orders=load(spark, sf, "orders"))
+    return spark.sql(REPORTS, orders=spread(load(spark, sf, "orders"), "o_orderkey"))
 
 
 SQL_REPORTS = REPORTS.replace("{orders}", "orders")

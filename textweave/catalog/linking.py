@@ -124,7 +124,7 @@ def additive_similarity(spark: SparkSession, sf: str) -> DataFrame:
     found = similarity.additive_similarity(
         pairs, words.select("l_orderkey", F.explode("w").alias("word")), similar, "l_orderkey"
     )
-    return found.select("id1", "id2", rounded("score", 9))
+    return found.select("id1", "id2", rounded("score", 12))
 
 
 def linkage_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -285,7 +285,7 @@ ORACLES = {
         counts as (select k, w, count(*) as n from words group by 1, 2),
         sums as (select x.k as id1, y.k as id2, sum(sim * x.n * y.n) as total
                  from counts x join alike on a = x.w join counts y on y.k = x.k + 1 and y.w = b group by 1, 2)
-        select x.o_orderkey as id1, y.o_orderkey as id2, round(coalesce(total, 0) / (s1.n * s2.n), 9) as score
+        select x.o_orderkey as id1, y.o_orderkey as id2, round(coalesce(total, 0) / (s1.n * s2.n), 12) as score
         from orders x join orders y on y.o_orderkey = x.o_orderkey + 1
         left join sums on id1 = x.o_orderkey left join sizes s1 on s1.k = x.o_orderkey left join sizes s2 on s2.k = y.o_orderkey""",
 }

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textweave.catalog.common import SQL_TOKENS, digest, load, rounded, tokens
+from textweave.catalog.common import SQL_TOKENS, digest, documents, load, rounded, tokens
 from textweave.functions import text as tx
 from textweave.operators import text
 from textweave.plans import collocation
@@ -18,23 +18,23 @@ def _fingerprint(df: DataFrame, column: str = "tokens") -> DataFrame:
 
 
 def tokenize_simple(spark: SparkSession, sf: str) -> DataFrame:
-    return _fingerprint(text.tokenize(load(spark, sf, "documents")))
+    return _fingerprint(text.tokenize(documents(spark, sf)))
 
 
 def tokenize_regex(spark: SparkSession, sf: str) -> DataFrame:
-    return _fingerprint(text.regex_tokenize(load(spark, sf, "documents")))
+    return _fingerprint(text.regex_tokenize(documents(spark, sf)))
 
 
 def tokenize_normalised(spark: SparkSession, sf: str) -> DataFrame:
-    return _fingerprint(text.normalise(load(spark, sf, "documents"), stem=False))
+    return _fingerprint(text.normalise(documents(spark, sf), stem=False))
 
 
 def tokenize_stemmed(spark: SparkSession, sf: str) -> DataFrame:
-    return _fingerprint(text.normalise(load(spark, sf, "documents")))
+    return _fingerprint(text.normalise(documents(spark, sf)))
 
 
 def stem_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    words = load(spark, sf, "documents").select(tx.normalised_tokens(F.col("text")).alias("tokens"))
+    words = documents(spark, sf).select(tx.normalised_tokens(F.col("text")).alias("tokens"))
     return text.stem_counts(collocation.token_counts(words, "tokens"))
 
 
@@ -52,7 +52,7 @@ def ngram3(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
-    parts = load(spark, sf, "documents").select("doc_id", tx.sentences(F.col("text")).alias("parts"))
+    parts = documents(spark, sf).select("doc_id", tx.sentences(F.col("text")).alias("parts"))
     return _fingerprint(parts, "parts")
 
 

@@ -27,6 +27,17 @@ def read_table(
     return reader.format(fmt).load(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on a table that comes in fewer pieces than there are cores.
+
+    A small file is read by a few tasks, often one row group by one task. The rows are
+    then dealt out by the hash of ``keys``. A table of many pieces, as any large one,
+    is returned as it is: its rows are never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def with_id(
     df: DataFrame, name: str = "_id", keys: Sequence[str | Column] | None = None, hashed: bool = False
 ) -> DataFrame:
