@@ -11,6 +11,7 @@ from textweave.functions import distance, text
 from textweave.functions import reports as rp
 from textweave.plans import linkage, overlap, similarity
 from textweave.session import materialise
+from textweave.sources.files import spread
 from textweave.sources.tables import associations
 
 BLOCK = ["place"]
@@ -36,7 +37,8 @@ def narrative_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    return associations(load(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
+    lines = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    return associations(spread(lines, "l_orderkey"), "l_orderkey", "l_partkey")
 
 
 def co_entity_groups(spark: SparkSession, sf: str) -> DataFrame:

@@ -71,7 +71,8 @@ def report_features(
         ready = {n: f.derive(*map(F.col, f.inputs)) for n, f in pending.items() if not set(f.inputs) & set(pending)}
         df = df.withColumns(ready)
         pending = {n: f for n, f in pending.items() if n not in ready}
-    return df.select(key, *[c for c in df.columns if c in FEATURES])
+    brought = [c for c in reports.columns if c in FEATURES]
+    return df.select(key, *brought, *[c for c in FEATURES if c in df.columns and c not in brought])
 
 
 def text_vectors(
