@@ -90,6 +90,9 @@ def test_test_pairs(spark):
     known = spark.createDataFrame([("k1", "x"), ("k2", "y"), ("k3", None)], "crime_id string, place string")
     new = spark.createDataFrame([("n1", "x"), ("n2", "z"), ("n3", None)], "crime_id string, place string")
     assert [tuple(r) for r in k.test_pairs(known, new, ["place"]).collect()] == [("n1", "k1", 1.0, 1)]
+    many = spark.range(300).select(F.format_string("r%d", "id").alias("crime_id"), (F.col("id") % 3).alias("place"))
+    pairs = k.test_pairs(many, many.limit(60), ["place"], pairs_per_share=50).collect()
+    assert len(set(pairs)) == len(pairs) == 60 * 100
     assert [r.n_pairs for r in k.block_sizes(known, new, ["place"]).collect()] == [1]
     with pytest.raises(ValueError):
         k.test_pairs(known, new, [])

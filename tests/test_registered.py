@@ -12,6 +12,13 @@ SF = os.environ.get("TEXTWEAVE_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not Path(SF).is_dir(), reason="no test tables")
 
 
+def check_plan(df):
+    """No product of two tables and no row-at-a-time Python anywhere in the plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert operator not in plan
+
+
 @pytest.fixture(scope="module")
 def duck():
     return connect(SF)
@@ -19,12 +26,16 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(registered.oracle_sql()))
 def test_equals_sql(spark, duck, name):
-    assert difference(registered.queries()[name](spark, SF), duck, registered.oracle_sql()[name]) is None
+    df = registered.queries()[name](spark, SF)
+    assert difference(df, duck, registered.oracle_sql()[name]) is None
+    check_plan(df)
 
 
 @pytest.mark.parametrize("name", sorted(set(registered.queries()) - set(registered.oracle_sql())))
 def test_gives_rows(spark, name):
-    assert registered.queries()[name](spark, SF).limit(1).count() == 1
+    df = registered.queries()[name](spark, SF)
+    assert df.limit(1).count() == 1
+    check_plan(df)
 
 
 def test_entry(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textweave.catalog.common import SQL_TOKENS, load, rounded, tokens
+from textweave.functions.text import exploded
 from textweave.operators import features as ft
 from textweave.plans.similarity import cosine_pairs, token_weights
 
@@ -66,7 +67,7 @@ def string_index(spark: SparkSession, sf: str) -> DataFrame:
 
 def label_table(spark: SparkSession, sf: str) -> DataFrame:
     """Index of the document tokens by frequency."""
-    words = tokens(spark, sf).select(F.explode("tokens").alias("token"))
+    words = exploded(tokens(spark, sf), "tokens", "token")
     return ft.label_table(words, "token")
 
 

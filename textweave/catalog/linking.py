@@ -69,8 +69,7 @@ def negative_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _known_and_new(spark: SparkSession, sf: str, *extra: str) -> tuple[DataFrame, DataFrame]:
     """Reports of the last year against all earlier ones."""
-    df = reports(spark, sf)
-    features = linkage.report_features(df).join(df.select("crime_id", "occurrence_year", *extra), "crime_id")
+    features = linkage.report_features(reports(spark, sf), keep=["occurrence_year", *extra])
     known = features.where(F.col("occurrence_year") < NEW_FROM).drop("occurrence_year")
     return known, features.where(F.col("occurrence_year") >= NEW_FROM).drop("occurrence_year")
 

@@ -58,7 +58,7 @@ def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def _tagged_turns(spark: SparkSession, sf: str) -> DataFrame:
     turns = load(spark, sf, "conversations").select("conv_id", "turn", "role", tx.regex_tokens(F.col("text")).alias("tokens"))
-    return turns.select("conv_id", "turn", F.explode("tokens").alias("token"), F.col("role").alias("tag"))
+    return tx.exploded(turns, "tokens", "token", "conv_id", "turn", F.col("role").alias("tag"))
 
 
 def tagger_train(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,15 @@ def regex_tokens(text: Column, pattern: str = r"\s+") -> Column:
     return F.filter(F.split(F.lower(text), pattern), lambda w: w != "")
 
 
+def exploded(df: DataFrame, tokens: str, name: str, *keys: str | Column) -> DataFrame:
+    """``(keys…, name)``: one row for each token.
+
+    A plain explode makes the optimizer filter out empty lists first, for which it
+    would compute the tokens of every text twice.
+    """
+    return df.select(*keys, F.explode_outer(tokens).alias(name)).where(F.col(name).isNotNull())
+
+
 def normalised_tokens(text: Column) -> Column:
     """Lower-case, delete punctuation, split into words, drop empty ones."""
     plain = F.translate(F.lower(text), PUNCTUATION, "")

@@ -15,6 +15,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textweave.functions.text import exploded
 from textweave.operators.checks import columns_at, require_column, require_new_column
 from textweave.operators.ordering import numbered
 
@@ -67,11 +68,11 @@ def count_vectors(
 
 def vocabulary(df: DataFrame, input_col: str = "tokens", vocab_size: int = FEATURE_SPACE, min_df: int = 1) -> DataFrame:
     """``(index, term, count)`` of the most frequent terms, ties in alphabetical order."""
-    per_text = df.select(F.monotonically_increasing_id().alias("text"), F.explode(input_col).alias("term"))
-    counts = per_text.groupBy("term").agg(F.count("*").alias("count"))
+    counts = exploded(df, input_col, "term").groupBy("term").agg(F.count("*").alias("count"))
     if min_df > 1:
-        spread = per_text.distinct().groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
-        counts = counts.join(spread.select("term"), "term", "left_semi")
+        once = exploded(df.select(F.array_distinct(input_col).alias("terms")), "terms", "term")
+        frequent = once.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+        counts = counts.join(frequent.select("term"), "term", "left_semi")
     kept = counts.orderBy(F.desc("count"), "term").limit(vocab_size)
     # The window runs over the kept terms only, vocab_size rows at most.
     order = Window.orderBy(F.desc("count"), "term")

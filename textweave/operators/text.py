@@ -101,7 +101,8 @@ def train_tagger(tagged: DataFrame, token: str = "token", tag: str = "tag") -> D
 
 def tag_tokens(df: DataFrame, key: Sequence[str], tokens: str, tags: DataFrame) -> DataFrame:
     """``(key…, pos, token, tag)``; the tag is null for a token the tagger has not seen."""
-    return df.select(*key, F.posexplode(tokens).alias("pos", "token")).join(tags, "token", "left").select(
+    placed = df.select(*key, F.posexplode_outer(tokens).alias("pos", "token")).where("token is not null")
+    return placed.join(tags, "token", "left").select(
         *key, "pos", "token", "tag"
     )
 
@@ -123,7 +124,7 @@ def stolen_property(
     text = F.when(F.col(narrative).contains("PROPERTY"), F.array_join(listed, " ")).otherwise("")
     words = normalise(df.select(key, text.alias("_listed")), "_listed", "_words", stem)
     nouns = (
-        words.select(key, F.posexplode("_words").alias("pos", "token"))
+        words.select(key, F.posexplode_outer("_words").alias("pos", "token"))
         .where((F.length("token") >= 3) & ~F.col("token").isin(removed))
         .join(tags.where(F.col("tag").isin(NOUN_TAGS)), "token")
     )

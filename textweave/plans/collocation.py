@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textweave.functions.text import exploded
 from textweave.session import materialise
 
 COUNT, CHI_SQUARE, T_SCORE, CHI_SQUARE_FILTERED = 0, 1, 2, 3
@@ -12,7 +13,7 @@ COUNT, CHI_SQUARE, T_SCORE, CHI_SQUARE_FILTERED = 0, 1, 2, 3
 
 def token_counts(df: DataFrame, tokens: str) -> DataFrame:
     """How often each token occurs in the corpus: ``(key, count)``."""
-    return df.select(F.explode(tokens).alias("key")).groupBy("key").agg(F.count("*").alias("count"))
+    return exploded(df, tokens, "key").groupBy("key").agg(F.count("*").alias("count"))
 
 
 def _adjacent(df: DataFrame, tokens: str) -> DataFrame:
@@ -23,7 +24,7 @@ def _adjacent(df: DataFrame, tokens: str) -> DataFrame:
     """
     words = F.col(tokens)
     followers = F.slice(words, 2, F.size(words))
-    rows = df.where(F.size(words) > 0).select(F.inline(F.arrays_zip(words, followers)).alias("w1", "next"))
+    rows = df.select(F.inline_outer(F.arrays_zip(words, followers)).alias("w1", "next"))
     return (
         rows.where("w1 is not null")
         .select("w1", F.coalesce("next", F.lit("")).alias("w2"), F.col("next").isNotNull().cast("bigint").alias("pair"))

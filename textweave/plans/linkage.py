@@ -24,6 +24,7 @@ from textweave.session import materialise
 
 PAIR_COLUMNS = ("weight", "class", "crime_pair")
 FULL_UP_TO = 100
+SHARE_PAIRS = 1_000_000
 
 
 class Feature(NamedTuple):
@@ -56,9 +57,9 @@ FEATURES = {
 
 
 def report_features(
-    reports: DataFrame, key: str = "crime_id", tags: DataFrame | None = None, stem: bool = True
+    reports: DataFrame, key: str = "crime_id", tags: DataFrame | None = None, stem: bool = True, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Key and all features of the reports; columns the reports bring already are kept.
+    """Key and all features of the reports; features they bring already stay, and so do the columns of ``keep``.
 
     ``tags`` is a tagger's table ``(token, tag)``; without it the list of stolen
     property is left out.
@@ -72,7 +73,7 @@ def report_features(
         df = df.withColumns(ready)
         pending = {n: f for n, f in pending.items() if n not in ready}
     brought = [c for c in reports.columns if c in FEATURES]
-    return df.select(key, *brought, *[c for c in FEATURES if c in df.columns and c not in brought])
+    return df.select(key, *keep, *brought, *[c for c in FEATURES if c in df.columns and c not in brought])
 
 
 def text_vectors(
@@ -175,17 +176,35 @@ def _unlinked(pairs: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def test_pairs(known: DataFrame, new: DataFrame, block_on: Sequence[str], key: str = "crime_id") -> DataFrame:
+def test_pairs(
+    known: DataFrame, new: DataFrame, block_on: Sequence[str], key: str = "crime_id", pairs_per_share: int = SHARE_PAIRS
+) -> DataFrame:
     """New records with the known records that agree on all ``block_on`` columns.
 
     Weight 1, class 1 as a placeholder. The blocks replace the product of the two
     tables: choose columns with many values, as a block gives new times known pairs.
+    A block of many pairs is cut into shares of its known records by their hash, each
+    joined on its own, so that no task forms much more than ``pairs_per_share`` pairs
+    of a block.
     """
     if not block_on:
         raise ValueError("test pairs need columns to block on")
-    left = new.select(*block_on, F.col(key).alias("crime_id1"))
-    right = known.select(*block_on, F.col(key).alias("crime_id2"))
-    return left.join(right, list(block_on)).select(
+    blocks = list(block_on)
+    shares = F.ceil(F.col("n_pairs") / pairs_per_share)
+    # Ids and block columns are written once; whatever derived them is not run again.
+    sides = [t.select(*blocks, F.col(key).alias("id"), F.lit(n).alias("_new")) for t, n in ((known, 0), (new, 1))]
+    both = materialise(sides[0].unionByName(sides[1]), "blocks")
+    sizes = both.groupBy(*blocks).agg((F.sum("_new") * F.sum(1 - F.col("_new"))).alias("n_pairs"))
+    large = sizes.where(F.col("n_pairs") > pairs_per_share).select(*blocks, shares.alias("_shares"))
+    number = F.coalesce("_shares", F.lit(1))
+    sized = both.join(large, blocks, "left")
+    left = sized.where("_new = 1").select(
+        *blocks, F.col("id").alias("crime_id1"), F.explode(F.sequence(F.lit(0).cast("bigint"), number - 1)).alias("_share")
+    )
+    right = sized.where("_new = 0").select(
+        *blocks, F.col("id").alias("crime_id2"), F.pmod(F.xxhash64("id"), number).alias("_share")
+    )
+    return left.join(right, [*blocks, "_share"]).select(
         "crime_id1", "crime_id2", F.lit(1.0).alias("weight"), F.lit(1).alias("class")
     )
 
