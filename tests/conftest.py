@@ -10,4 +10,6 @@ from textweave.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("tests", memory="8g")
+    session = local_session("tests", memory="8g")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
+    return session

@@ -60,6 +60,14 @@ def count_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("doc_id", F.size(entries["indices"]).alias("n_terms"), total.alias("n_tokens"))
 
 
+def count_tfidf(spark: SparkSession, sf: str) -> DataFrame:
+    """Vocabulary counts weighted by IDF: entries and length of each document's vector."""
+    counts = ft.count_vectors(tokens(spark, sf), output_col="tf").table
+    entries = F.unwrap_udt("tfidf")
+    norm = F.sqrt(F.aggregate(entries["values"], F.lit(0.0), lambda s, v: s + v * v))
+    return ft.idf(counts).table.select("doc_id", F.size(entries["indices"]).alias("n_terms"), F.round(norm, 6).alias("norm"))
+
+
 def string_index(spark: SparkSession, sf: str) -> DataFrame:
     orders = load(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("category"))
     return ft.string_index(orders).table
@@ -139,6 +147,7 @@ QUERIES = {
     "tfidf_cosine_pairs": tfidf_cosine_pairs,
     "vocabulary": vocabulary,
     "count_vectors": count_vectors,
+    "count_tfidf": count_tfidf,
     "string_index": string_index,
     "label_table": label_table,
     "one_hot": one_hot,
@@ -192,6 +201,10 @@ ORACLES = {
         select d.doc_id, cast(count(k.token) as integer) as n_terms,
                cast(coalesce(sum(case when k.token is not null then tf end), 0) as bigint) as n_tokens
         from documents d left join tf using (doc_id) left join kept k using (token) group by d.doc_id""",
+    "count_tfidf": f"""
+        with {_WEIGHTS}
+        select doc_id, cast(count(*) as integer) as n_terms, round(sqrt(sum(weight * weight)), 6) as norm
+        from weights group by doc_id""",
     "string_index": f"""
         with {_INDEX} select o_orderkey, o_orderpriority as category, i::double as category_index
         from orders join ranks using (o_orderpriority)""",

@@ -67,6 +67,19 @@ def negative_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return linkage.negative_pairs(_groups(spark, sf), per_member=2)
 
 
+def negative_pairs_of_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Each member of a group is the first record of two unlinked pairs."""
+    pairs = negative_pairs(spark, sf)
+    each = pairs.groupBy("group", "crime_id1").agg(F.count("*").alias("n_pairs"))
+    return each.select("group", F.col("crime_id1").alias("crime_id"), "n_pairs")
+
+
+def chained_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs and weight of each group when all groups are kept as chains."""
+    pairs = linkage.positive_pairs(_groups(spark, sf), full_up_to=1)
+    return pairs.groupBy("group").agg(F.count("*").alias("n_pairs"), F.sum("weight").alias("weight"))
+
+
 def _known_and_new(spark: SparkSession, sf: str, *extra: str) -> tuple[DataFrame, DataFrame]:
     """Reports of the last year against all earlier ones."""
     features = linkage.report_features(reports(spark, sf), keep=["occurrence_year", *extra])
@@ -144,6 +157,8 @@ QUERIES = {
     "group_stats": group_stats,
     "positive_pairs": positive_pairs,
     "negative_pairs": negative_pairs,
+    "negative_pairs_of_groups": negative_pairs_of_groups,
+    "chained_pairs": chained_pairs,
     "test_pairs": test_pairs,
     "block_sizes": block_sizes,
     "pair_features": pair_features,
@@ -250,6 +265,11 @@ ORACLES = {
         select a.crime_id as crime_id1, b.crime_id as crime_id2, "group", round(1 / a.n::double, 6) as weight,
                cast(1 as integer) as "class"
         from sized a join sized b using ("group") where a.crime_id < b.crime_id""",
+    "negative_pairs_of_groups": f"""
+        with {_GROUPS.format("")} select "group", crime_id, cast(2 as bigint) as n_pairs from groups""",
+    "chained_pairs": f"""
+        with {_GROUPS.format("")}
+        select "group", count(*) - 1 as n_pairs, (count(*) - 1) / 2.0::double as weight from groups group by groups."group\"""",
     "test_pairs": f"""
         with {_BLOCKED} select x.crime_id as crime_id1, y.crime_id as crime_id2, 1.0::double as weight, cast(1 as integer) as "class"
         from new x join known y using (place)""",

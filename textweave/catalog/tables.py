@@ -30,7 +30,9 @@ def row_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def row_ids_unstable(spark: SparkSession, sf: str) -> DataFrame:
-    return files.with_id(load(spark, sf, "orders").select("o_orderkey"))
+    """Ids without keys are unique: as many as there are rows."""
+    orders = files.with_id(load(spark, sf, "orders").select("o_orderkey"))
+    return orders.select("_id").distinct().agg(F.count("*").alias("n_ids"))
 
 
 SQL_TEXT = """
@@ -116,6 +118,19 @@ def random_split(spark: SparkSession, sf: str) -> DataFrame:
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
+def _parts_of_each(train: DataFrame, test: DataFrame) -> DataFrame:
+    """A split puts each order into exactly one part."""
+    return train.unionByName(test).groupBy("o_orderkey").agg(F.count("*").alias("n_parts"))
+
+
+def random_split_is_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _parts_of_each(*sampling.random_split(load(spark, sf, "orders").select("o_orderkey")))
+
+
+def split_by_hash_is_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _parts_of_each(*sampling.split_by_hash(load(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 0.8, 0.2))
+
+
 def split_by_hash(spark: SparkSession, sf: str) -> DataFrame:
     train, test = sampling.split_by_hash(load(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"])
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
@@ -226,6 +241,8 @@ QUERIES = {
     "array_intersection": array_intersection,
     "random_split": random_split,
     "split_by_hash": split_by_hash,
+    "random_split_is_whole": random_split_is_whole,
+    "split_by_hash_is_whole": split_by_hash_is_whole,
     "sample": sample,
     "sample_by_hash": sample_by_hash,
     "group_to_list": group_to_list,
@@ -252,6 +269,9 @@ ORACLES = {
     "row_ids": """
         select l_partkey, l_suppkey, count(*) as n_lines, row_number() over (order by l_partkey, l_suppkey) - 1 as row_id
         from lineitem group by l_partkey, l_suppkey""",
+    "row_ids_unstable": "select count(*) as n_ids from orders",
+    "random_split_is_whole": "select o_orderkey, count(*) as n_parts from orders group by o_orderkey",
+    "split_by_hash_is_whole": "select o_orderkey, count(*) as n_parts from orders group by o_orderkey",
     "sql_table": SQL_TEXT.replace("{customers}", "customer").replace("{nations}", "nation").replace("{minimum}", "0"),
     "associations": """
         select distinct cast(l_orderkey as varchar) as crime_id, cast(l_partkey as varchar) as person_id from lineitem""",
