@@ -130,6 +130,13 @@ def test_stolen_property(spark):
     assert {r[0]: r[1] for r in fixed.collect()}[1] == ["laptop"]
 
 
+def test_lemmatize(spark):
+    df = spark.createDataFrame([(1, ["mice", "ran", "mice"]), (2, [])], "id int, tokens array<string>")
+    lemmas = spark.createDataFrame([("mice", "mouse")], "token string, lemma string")
+    found = {r.id: r.lemmas for r in text.lemmatize(df, "id", "tokens", lemmas).collect()}
+    assert found == {1: ["mouse", "ran", "mouse"], 2: []}
+
+
 def test_contracts(spark):
     df = texts(spark, "a")
     with pytest.raises(ValueError):

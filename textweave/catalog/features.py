@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from textweave.catalog.common import SQL_TOKENS, load, rounded, tokens
 from textweave.functions.text import exploded
 from textweave.operators import features as ft
+from textweave.plans import similarity
 from textweave.plans.similarity import cosine_pairs, token_weights
 
 PRICES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -124,6 +125,15 @@ def word_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("doc_id", F.round(v[0], 4).alias("x0"), F.round(v[15], 4).alias("x15"))
 
 
+def document_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean word vector of each document, weighted by TF-IDF."""
+    docs = tokens(spark, sf)
+    model = ft.word2vec(docs, vector_size=8, num_partitions=4).model
+    v = vector_to_array("features")
+    found = similarity.document_vectors(docs, "doc_id", "tokens", model.getVectors())
+    return found.select("doc_id", F.round(v[0], 4).alias("x0"), F.round(v[7], 4).alias("x7"))
+
+
 def mean_item_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Mean vector of the parts of an order, weighted by quantity."""
     items = load(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("vec_id"), "l_quantity")
@@ -156,6 +166,7 @@ QUERIES = {
     "min_max": min_max,
     "standard": standard,
     "word_vectors": word_vectors,
+    "document_vectors": document_vectors,
     "mean_item_vectors": mean_item_vectors,
     "principal_components": principal_components,
 }

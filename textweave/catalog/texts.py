@@ -73,6 +73,15 @@ def tagger_apply(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def lemmatized(spark: SparkSession, sf: str) -> DataFrame:
+    """Words with a final s to the word without it, where the texts have that word too."""
+    docs = tokens(spark, sf)
+    words = collocation.token_counts(docs, "tokens").select(F.col("key").alias("token"))
+    plurals = words.where("token like '_%s'").withColumn("lemma", F.expr("left(token, length(token) - 1)"))
+    lemmas = plurals.join(words.withColumnRenamed("token", "lemma"), "lemma", "left_semi")
+    return _fingerprint(text.lemmatize(docs, "doc_id", "tokens", lemmas, "lemmas"), "lemmas")
+
+
 def stolen_property(spark: SparkSession, sf: str) -> DataFrame:
     parts = load(spark, sf, "part")
     narratives = parts.select(
@@ -114,6 +123,7 @@ QUERIES = {
     "sentence_split": sentence_split,
     "tagger_train": tagger_train,
     "tagger_apply": tagger_apply,
+    "lemmatized": lemmatized,
     "stolen_property": stolen_property,
     "token_frequency": token_frequency,
     "corpus_totals": corpus_totals,
@@ -204,6 +214,16 @@ ORACLES = {
         placed as (select doc_id, unnest(t) as token, unnest(range(len(t))) as pos from listed)
         select doc_id, coalesce(tag, 'none') as tag, count(*) as n, cast(sum(pos) as bigint) as positions
         from placed left join tags using (token) group by 1, 2""",
+    "lemmatized": f"""
+        with listed as (select doc_id, {SQL_TOKENS} as t from documents),
+        placed as (select doc_id, unnest(t) as token, unnest(range(len(t))) as pos from listed),
+        words as (select distinct token from placed),
+        lemmas as (select token, left(token, length(token) - 1) as lemma from words
+                   where token like '_%s' and left(token, length(token) - 1) in (select token from words)),
+        replaced as (select doc_id, count(*) as n, string_agg(coalesce(lemma, token), chr(31) order by pos) as joined
+                     from placed left join lemmas using (token) group by doc_id)
+        select doc_id, cast(coalesce(n, 0) as integer) as n_tokens, md5(coalesce(joined, '')) as digest
+        from documents left join replaced using (doc_id)""",
     "stolen_property": """
         with words as (select unnest(string_split(p_name, ' ')) as token, unnest(range(len(string_split(p_name, ' ')))) as pos
                        from part),

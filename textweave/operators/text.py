@@ -107,6 +107,21 @@ def tag_tokens(df: DataFrame, key: Sequence[str], tokens: str, tags: DataFrame)
     )
 
 
+def lemmatize(
+    df: DataFrame, key: str, tokens: str, lemmas: DataFrame, output_col: str = "lemmas"
+) -> DataFrame:
+    """``(key, output_col)``: each token replaced by its lemma in ``lemmas`` ``(token, lemma)``, if it has one.
+
+    ``key`` is unique. The lemmas are the caller's table; a text keeps its own tokens, in order.
+    """
+    found = tag_tokens(df, [key], tokens, lemmas.select("token", F.col("lemma").alias("tag")))
+    placed = F.struct("pos", F.coalesce("tag", "token").alias("word"))
+    lists = found.groupBy(key).agg(F.array_sort(F.collect_list(placed))["word"].alias(output_col))
+    return df.select(key).join(lists, key, "left").withColumn(
+        output_col, F.coalesce(output_col, F.array().cast("array<string>"))
+    )
+
+
 def stolen_property(
     df: DataFrame, key: str, narrative: str, tags: DataFrame, output_col: str = "propertyStolenWordnet",
     stem: bool = True, fix_removal_list: bool = False,
