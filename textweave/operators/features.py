@@ -124,11 +124,14 @@ def mean_vectors(items: DataFrame, vectors: DataFrame, key: str, item: str, weig
     """``(key, output_col)``: weighted mean of the vectors of each key's items.
 
     The document-vector operator: items are the words of a text, weighted by IDF if
-    wanted. Items without a vector are left out. Sums are partial before the shuffle.
+    wanted. Items without a vector or with weight 0 are left out, and so are keys that
+    have no others. Sums are partial before the shuffle.
     """
     as_vector = F.col(vector) if dict(vectors.dtypes)[vector] == "vector" else array_to_vector(vector)
     joined = items.join(vectors.select(item, as_vector.alias("_vector")), item)
     weights = F.col(weight).cast("double") if weight else F.lit(1.0)
+    if weight:
+        joined = joined.where(weights > 0)
     return joined.groupBy(key).agg(Summarizer.mean(F.col("_vector"), weights).alias(output_col))
 
 
