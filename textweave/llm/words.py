@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
 #: Distinct words kept in a worker's memory before the table is started anew.
 CACHED_WORDS = 400_000
@@ -82,6 +83,14 @@ def slices(sizes: Sequence[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int
         yield start, len(sizes)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def pieces(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts have a bounded size."""
     column = batch.column(batch.schema.get_field_index(text))
