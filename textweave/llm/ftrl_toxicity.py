@@ -30,16 +30,21 @@ _NEXT, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the labelled rows that are learned from: those whose hashed id is smallest."""
+    """``sample_rows`` bounds the labelled rows that are learned from: those whose hashed id is smallest.
+
+    A shard learns features that at least ``least_seen`` of its texts have, with a shrinkage that
+    grows with its rows.
+    """
 
     sample_rows: int = 16_384
-    shards: int = 4
+    shards: int = 2
     bits: int = 22
-    alpha: float = 0.3
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 0.1
-    epochs: int = 4
+    l1_per_row: float = 0.001
+    l2: float = 0.0
+    epochs: int = 10
+    least_seen: int = 4
 
 
 def word_features(words: np.ndarray, bits: int) -> np.ndarray:
@@ -65,13 +70,16 @@ def learn(texts: list[str], labels: list[int], settings: Settings) -> tuple[np.n
     """Places, weights and bias after some passes over the texts in the given order."""
     n_places, hashes = 1 << settings.bits, word_hashes()
     z, n = np.zeros(n_places), np.zeros(n_places)
+    l1 = max(0.5, settings.l1_per_row * len(texts))
     rows = [features_of(t, hashes, settings.bits).astype(np.int32) for t in texts]
+    seen = np.bincount(np.concatenate(rows), minlength=n_places) if rows else z
+    rows = [at[seen[at] >= settings.least_seen] for at in rows]
     bias = squares = 0.0
 
     def weights(at: np.ndarray) -> np.ndarray:
         own = z[at]
-        small = np.sign(own) * settings.l1 - own
-        return np.where(np.abs(own) <= settings.l1, 0.0, small / ((settings.beta + np.sqrt(n[at])) / settings.alpha + settings.l2))
+        small = np.sign(own) * l1 - own
+        return np.where(np.abs(own) <= l1, 0.0, small / ((settings.beta + np.sqrt(n[at])) / settings.alpha + settings.l2))
 
     for _ in range(settings.epochs):
         for at, label in zip(rows, labels, strict=True):
@@ -82,7 +90,7 @@ def learn(texts: list[str], labels: list[int], settings: Settings) -> tuple[np.n
             n[at] += gap * gap
             squares += gap * gap
             bias -= settings.alpha / (settings.beta + np.sqrt(squares)) * gap
-    at = np.flatnonzero(np.abs(z) > settings.l1)
+    at = np.flatnonzero(np.abs(z) > l1)
     return at, weights(at), bias
 
 
