@@ -88,9 +88,9 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_column: str = "doc_id",
     texts stays unless the index has the text already. The rows come to the index in two
     batches, smaller ids first, as a corpus that grows does.
 
-    Null texts count as empty, and empty texts are equal to each other. Null ids order before
-    all others only if nothing else has the text: ``keep_id`` is then null and all its rows are
-    kept. Rows with the same id and text are one document given twice; both are kept if one is.
+    Null texts count as empty, and empty texts are equal to each other. A row with a null id stays
+    only if no other row has its text; ``keep_id`` is then null. Rows with the same id and text are
+    one document given twice; both are kept if one is.
     An empty table gives an empty result. Other columns of ``docs`` are not read.
     """
     digests = materialise(text_digests(docs, id_column, text_column), "digests")
@@ -99,7 +99,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_column: str = "doc_id",
     for batch in (early, ~F.coalesce(early, F.lit(False))):
         index.add(digests.filter(batch))
     sizes = digests.groupBy("digest").agg(F.count("*").alias("group_size"))
-    groups = sizes.hint("merge").join(index.rows(), "digest")
+    groups = materialise(sizes.hint("merge").join(index.rows(), "digest"), "groups")
     return digests.join(groups.hint("merge"), "digest").select(
         F.col("id").alias(id_column),
         "keep_id",
