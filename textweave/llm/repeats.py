@@ -8,7 +8,7 @@ of the shorter windows inside it: equal windows have equal representatives, so a
 representative occurs once in the corpus cannot repeat. Only a sixth of all places represents a
 window. Hashes are counted by partial sums; what comes back to a document is the list of its
 hashes that occur once (each occurs in one document), so a passage in a third of all documents is
-one row for each task and no key is joined. At the wanted length windows are compared by 128 bits.
+one row for each task and no key is joined. At the wanted length windows are compared by 95 bits.
 
 The documents are shuffled once, by row key; all levels and the removal read that shuffle again.
 """
@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textweave.llm.words import hashed, mixed, pieces, sliding_min, windows, word_hashes
+from textweave.operators.ordering import numbered
+from textweave.session import materialise
 
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _TWICE = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
@@ -66,16 +68,13 @@ class Words:
         return short, least, chosen
 
 
-def _rows(piece: pa.RecordBatch, text: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
-    """One row for each entry of ``text``, with the keys of that text."""
-    at = pa.array(text)
-    keys = [piece.column(0).take(at), piece.column(1).take(at)]
-    return pa.RecordBatch.from_arrays([*keys, *map(pa.array, columns.values())], ["id", "key", *columns])
+#: Bits of a place in the corpus that count the words of a document.
+START_BITS = 26
 
 
-def _lists(rows: DataFrame, name: str) -> DataFrame:
-    """One row for each document, with the list of its values."""
-    return rows.groupBy("id", "key").agg(F.collect_list("value").alias(name))
+def _lists(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """One row for each ``by`` with the list of its values. Rows are shuffled before lists are made of them."""
+    return rows.repartition(by).groupBy(by).agg(F.collect_list("value").alias(name))
 
 
 def remove_repeats(
@@ -89,9 +88,9 @@ def remove_repeats(
     than a window lose nothing. A null text has no words.
 
     Null ids come before all others. Rows with one id and different texts are ordered by a hash of
-    the text; rows with one id and one text are one document given twice, with equal results. An
+    both; rows with one id and one text are one document given twice, with equal results. An
     empty table gives an empty result; other columns are not read. A worker holds some MB of text
-    at a time, or one text where that is longer.
+    at a time, or one text where that is longer; a text has at most 2 ** 26 words.
     """
     levels = [base]
     while levels[-1] * 2 <= window:
@@ -100,8 +99,12 @@ def remove_repeats(
         raise ValueError("window must be base times a power of two")
     text = F.col(text_column).cast("binary")
     given = docs.select(
-        F.col(id_column).cast("bigint").alias("id"), F.xxhash64(F.coalesce(text, F.lit(b""))).alias("key"), text.alias("text")
+        F.col(id_column).cast("bigint").alias("id"), F.xxhash64(F.col(id_column), F.coalesce(text, F.lit(b""))).alias("key"), text.alias("text")
     )
+    # Documents by number, in the order in which their windows count as earlier.
+    ranks = given.groupBy("key").agg(F.min("id").alias("id"))
+    ranks = numbered(ranks, [F.col("id").asc_nulls_first(), F.col("key")], "rank").select("key", "rank")
+    ranks = materialise(ranks, "ranks")
 
     def judged(piece: pa.RecordBatch, hashes, upto: int) -> tuple[Words, np.ndarray]:
         """The words of a piece, and the windows that repeat at all levels before ``upto``."""
@@ -110,7 +113,7 @@ def remove_repeats(
         for k, length in enumerate(levels[:upto]):
             if not alive.any():
                 break
-            once = piece.column(3 + k).flatten().to_numpy().view(np.uint64)
+            once = piece.column(piece.schema.get_field_index(f"once{k}")).flatten().to_numpy().view(np.uint64)
             alive &= ~np.isin(words.representatives(base, length, window)[1], once)
         return words, alive
 
@@ -122,7 +125,8 @@ def remove_repeats(
                     words, alive = judged(piece, hashes, level)
                     words.fits &= alive
                     short, _, chosen = words.representatives(base, levels[level], window)
-                    yield _rows(piece, words.text[: len(short)][chosen], value=short[chosen].view(np.int64))
+                    keys = piece.column(1).take(pa.array(words.text[: len(short)][chosen]))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(short[chosen].view(np.int64))], ["key", "value"])
 
         return emit
 
@@ -132,16 +136,22 @@ def remove_repeats(
             for piece in pieces(batch):
                 words, alive = judged(piece, hashes, len(levels) - 1)
                 at = np.flatnonzero(alive)
-                one, two = (words.levels(seed, base, window)[at].view(np.int64) for seed in (0, 1))
+                one = words.levels(0, base, window)[at].view(np.int64)
+                two = (words.levels(1, base, window)[at] >> np.uint64(33)).astype(np.int32)
                 of = words.text[at]
-                yield _rows(piece, of, value=(at - words.starts[of]).astype(np.int32), one=one, two=two)
+                start = at - words.starts[of]
+                if len(start) and start.max() >> START_BITS:
+                    raise ValueError(f"a text has more than 2 ** {START_BITS} words")
+                rank = piece.column(piece.schema.get_field_index("rank")).to_numpy()
+                place = (rank[of] << START_BITS) + start
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, (one, two, place))), ["one", "two", "place"])
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
         for batch in batches:
             for piece in pieces(batch):
                 words, alive = judged(piece, hashes, len(levels) - 1)
-                stay = piece.column(2 + len(levels))
+                stay = piece.column(piece.schema.get_field_index("stay"))
                 own = stay.flatten().to_numpy()
                 sizes = pc.fill_null(pc.list_value_length(stay), 0).to_numpy(zero_copy_only=False)
                 alive[own + np.repeat(words.starts, sizes)] = False
@@ -162,30 +172,25 @@ def remove_repeats(
                     columns.append(pa.array([k.decode() for k in kept], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, schema.replace(" bigint", "").replace(" string", "").split(", "))
 
-    keyed = "id bigint, key bigint, value bigint"
     schema = "id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
     source = given
     for level in range(len(levels) - 1):
-        once = (
-            source.mapInArrow(short_windows(level), keyed)
-            .groupBy("value")
-            .agg(F.count("*").alias("n"), F.min(F.struct("id", "key")).alias("at"))
-            .filter("n = 1")
-            .select("at.id", "at.key", "value")
-        )
-        source = _with_list(source, _lists(once, f"once{level}"))
+        counted = source.mapInArrow(short_windows(level), "key bigint, value bigint").groupBy("value")
+        once = counted.agg(F.count("*").alias("n"), F.min("key").alias("key")).filter("n = 1").select("key", "value")
+        source = source.join(_lists(once, "key", f"once{level}").hint("merge"), "key", "left").select(*_first(source), f"once{level}")
+    ranked = source.join(ranks.hint("merge"), "key")
     first = (
-        source.mapInArrow(whole_windows, "id bigint, key bigint, value int, one bigint, two bigint")
+        ranked.select(*_first(source), "rank")
+        .mapInArrow(whole_windows, "one bigint, two int, place bigint")
         .groupBy("one", "two")
-        .agg(F.min(F.struct("id", "key", "value")).alias("at"))
-        .select("at.*")
+        .agg(F.min("place").alias("place"))
+        .select(F.shiftright("place", START_BITS).alias("rank"), F.col("place").bitwiseAND((1 << START_BITS) - 1).cast("int").alias("value"))
     )
-    source = _with_list(source, _lists(first, "stay"))
-    return source.mapInArrow(removed, schema).withColumnRenamed("id", id_column)
+    stay = _lists(first, "rank", "stay").join(ranks.hint("merge"), "rank").select("key", "stay")
+    judged_docs = source.join(stay.hint("merge"), "key", "left").select(*_first(source), "stay")
+    return judged_docs.mapInArrow(removed, schema).withColumnRenamed("id", id_column)
 
 
-def _with_list(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    name = lists.columns[-1]
-    right = lists.select(F.col("id").alias("_id"), F.col("key").alias("_key"), name).hint("merge")
-    on = docs["id"].eqNullSafe(right["_id"]) & (docs["key"] == right["_key"])
-    return docs.join(right, on, "left").drop("_id", "_key")
+def _first(source: DataFrame) -> list[str]:
+    """The columns with id, key and text first, as the tasks take them by place."""
+    return ["id", "key", "text", *[c for c in source.columns if c not in ("id", "key", "text")]]
