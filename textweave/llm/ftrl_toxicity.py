@@ -122,35 +122,64 @@ def fit(labelled: DataFrame, docs: DataFrame, settings: Settings = Settings()) -
     return {r["place"]: r["weight"] for r in means.collect()}
 
 
+class Scorer:
+    """Scores of texts, for use inside a task."""
+
+    def __init__(self, weights: dict[int, float], bits: int) -> None:
+        self.bits, self.bias = bits, weights.get(-1, 0.0)
+        places = np.array(sorted(p for p in weights if p >= 0), np.int64)
+        self.values = np.array([weights[int(p)] for p in places], np.float64)
+        self.row = np.zeros(1 << bits, np.int32)
+        self.row[places] = np.arange(1, len(places) + 1)
+        self.hashes = word_hashes()
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        logits = np.full(len(texts), self.bias)
+        for i, text in enumerate(texts):
+            found = word_features(hashed(WORD.findall((text or "").lower()), self.hashes), self.bits)
+            at = self.row[found[found >= 0]]
+            logits[i] += self.values[np.unique(at[at > 0]) - 1].sum()
+        return 1 / (1 + np.exp(-np.clip(logits, -35, 35)))
+
+
 def scored(docs: DataFrame, weights: dict[int, float], bits: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(id_column, score)`` of every row in one pass without a shuffle."""
-    bias = weights.get(-1, 0.0)
-    places = np.array(sorted(p for p in weights if p >= 0), np.int64)
-    values = np.array([weights[int(p)] for p in places], np.float64)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
-        row = np.zeros(1 << bits, np.int32)
-        row[places] = np.arange(1, len(places) + 1)
+        scorer = Scorer(weights, bits)
         for batch in batches:
             for piece in pieces(batch):
-                logits = np.full(piece.num_rows, bias)
-                for i, text in enumerate(piece.column(1).to_pylist()):
-                    found = word_features(hashed(WORD.findall(text.lower()), hashes), bits)
-                    at = row[found[found >= 0]]
-                    logits[i] += values[np.unique(at[at > 0]) - 1].sum()
-                scores = 1 / (1 + np.exp(-np.clip(logits, -35, 35)))
+                scores = scorer.scores(piece.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(scores)], ["id", "score"])
 
-    given = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    given = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     return given.mapInArrow(score, f"id {dict(docs.dtypes)[id_column]}, score double").withColumnRenamed("id", id_column)
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, rejected_from: float = 0.5, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` with a score below ``rejected_from``, all columns as they are, in one pass."""
+    weights = fit(usable(labels), docs, settings)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(weights, settings.bits)
+        for batch in batches:
+            for piece in pieces(batch):
+                scores = scorer.scores(piece.column(piece.schema.get_field_index("text")).to_pylist())
+                yield piece.filter(pa.array(scores < rejected_from))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """The fifth of all ids that is never learned from; a null id is held out too."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def usable(labels: DataFrame) -> DataFrame:
+    """``(doc_id, label)`` of the rows of ``labels (doc_id, toxic)`` that may be learned from."""
+    return labels.select("doc_id", F.col("toxic").alias("label")).filter(~held_out(F.col("doc_id")))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row of ``docs``.
 
@@ -158,8 +187,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     has no features: its score is that of the bias. Rows given twice are scored twice, alike.
     An empty table gives an empty result; other columns are not read.
     """
-    usable = labels.select("doc_id", F.col("toxic").alias("label")).filter(~held_out(F.col("doc_id")))
-    weights = fit(usable, docs, settings)
+    weights = fit(usable(labels), docs, settings)
     return scored(docs, weights, settings.bits).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,21 +20,12 @@ from textweave.llm import (
     vector_graph,
     window_packing,
 )
+from textweave.llm.tables import domains, load
 
 #: Domains of the labelled table and their wanted shares of the tokens.
 TARGETS = {"good": 0.9, "low": 0.08, "toxic": 0.02}
 
 
-def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def domains(labels: DataFrame) -> DataFrame:
-    """``(doc_id, domain)`` from the columns ``quality`` and ``toxic``."""
-    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "good")
-    return labels.select("doc_id", domain.alias("domain")).filter("domain is not null")
-
-
 def op1_text_density(spark: SparkSession, sf: str) -> DataFrame:
     return text_density.extract(load(spark, sf, "pages"))
 
@@ -90,6 +82,7 @@ QUERIES = {
     "op8_soft_mixing": op8_soft_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

@@ -7,9 +7,11 @@ Rates stay between given bounds, zero below by default.
 
 With posteriors p, tokens t and rates r, the totals are m = sum t r p, and G = sum t p p' is how
 much they move when rates move along p. The squares (m - T)' G^-1 (m - T) are reduced in the
-metric that weighs documents by their tokens; there the step length is 1, without the bounds one
-step is exact, and the rate of a document depends on its posterior only. Each step is one
-aggregation to as many numbers as there are domains; everything else stays in the cluster.
+metric that weighs documents by their tokens; there a step of length 1 never overshoots, without
+the bounds one step is exact, and the rate of a document depends on its posterior only. Where
+bounds hold rates back, a longer step is tried first, measured by the rates that can still move,
+and taken if it brings the totals closer. Each step is an aggregation to a few numbers; everything
+else stays in the cluster.
 
 DataFrame expressions only.
 """
@@ -42,7 +44,7 @@ class Settings:
     smoothing: float = 0.1
     evidence_words: float = 32.0
     doubt: float = 0.01
-    steps: int = 60
+    steps: int = 30
     tolerance: float = 1e-4
 
 
@@ -163,21 +165,46 @@ def fitted_rates(
     if budget is None:
         budget = max((h / s for h, s in zip(have, shares, strict=True) if s), default=total) if least >= 1 else total
     aims = [s * budget for s in shares]
-    moves = [[0.0] * k for _ in range(k)]
-    for (i, j), x in zip(pairs, found[k:], strict=True):
-        moves[i][j] = moves[j][i] = x + (i == j) * 1e-9 * total
-    rate = F.lit(min(max(1.0, least), most))
-    now = [h * min(max(1.0, least), most) for h in have]
+
+    def square(values: Sequence[float]) -> list[list[float]]:
+        out = [[0.0] * k for _ in range(k)]
+        for (i, j), x in zip(pairs, values, strict=True):
+            out[i][j] = out[j][i] = (x or 0.0) + (i == j) * 1e-9 * total
+        return out
+
+    metric = square(found[k:])
+
+    def measured(rate: Column) -> tuple[list[float], list[list[float]]]:
+        """Gaps to the targets, and how much the rates that are not at a bound can move the totals."""
+        rated = members.withColumn("rate", rate)
+        free = F.when((F.col("rate") > least) & (F.col("rate") < most), tokens).otherwise(0.0)
+        sums = rated.agg(*[F.sum(tokens * F.col("rate") * x) for x in p], *[F.sum(free * p[i] * p[j]) for i, j in pairs]).first()
+        return [n - a for n, a in zip(sums[:k], aims, strict=True)], square(sums[k:])
+
+    def moved(rate: Column, step: Sequence[float]) -> Column:
+        along = sum((x * F.lit(y) for x, y in zip(p, step, strict=True)), F.lit(0.0))
+        return F.greatest(F.lit(least), F.least(F.lit(most), rate - along))
+
+    def size(gaps: Sequence[float]) -> float:
+        return sum(g * x for g, x in zip(gaps, solved(metric, gaps), strict=True))
+
+    rate = F.lit(float(min(max(1.0, least), most)))
+    gaps, free = measured(rate)
     for _ in range(settings.steps):
-        gaps = [n - a for n, a in zip(now, aims, strict=True)]
         if max(map(abs, gaps)) <= settings.tolerance * budget:
             break
-        step = solved(moves, gaps)
-        rate = F.greatest(F.lit(least), F.least(F.lit(most), rate - sum((x * F.lit(y) for x, y in zip(p, step, strict=True)), F.lit(0.0))))
-        sums = members.withColumn("rate", rate).agg(*[F.sum(tokens * F.col("rate") * x) for x in p]).first()
-        if max(abs(a - b) for a, b in zip(sums, now, strict=True)) <= 1e-3 * settings.tolerance * budget:
+        blend = [[f + 0.05 * m for f, m in zip(*rows, strict=True)] for rows in zip(free, metric, strict=True)]
+        longer = moved(rate, solved(blend, gaps))
+        new_gaps, new_free = measured(longer)
+        if size(new_gaps) < size(gaps):
+            rate = longer
+        else:
+            rate = moved(rate, solved(metric, gaps))
+            new_gaps, new_free = measured(rate)
+        done = size(gaps) - size(new_gaps) <= 1e-6 * size(gaps)
+        gaps, free = new_gaps, new_free
+        if done:
             break
-        now = list(sums)
     return members.withColumn("rate", rate)
 
 
