@@ -16,20 +16,28 @@ each block is short of tokens.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textweave.llm.words import CACHED_WORDS, pieces
+from textweave.llm.token_counts import byte_letters
+from textweave.llm.words import Cached, pieces
+
+#: Words kept in a worker's memory before the table is started anew.
+MOST_WORDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -46,11 +54,19 @@ class Settings:
     block: int = 1 << 18
 
 
+#: The vocabulary's pattern of pre-tokens. Fixed value: it comes with the vocabulary.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of these characters alone are the same after normalization, but for capitals. Special
+#: tokens have a "<" and are not among them.
+PLAIN = re.compile("[!-;=-~\u00a1-\u024f]+")
+
+
 class Tokens:
     """Token ids of blank-separated words, kept for the words seen.
 
     Normalizer and pre-tokenizer of the vocabulary never look over ASCII blanks, so the ids of a
-    text are those of its words.
+    text are those of its words. Words of plain Latin letters are cut into pre-tokens here and given
+    to the tokenizer's model one pre-token at a time; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,6 +74,13 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.pattern = self.tokenizer.model, regex.compile(PRE_TOKENS)
+        given = json.loads(self.tokenizer.to_str())
+        cut = (given["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+        lower = given["normalizer"]["normalizers"][-1] == {"type": "Lowercase"}
+        self.known_form = cut == PRE_TOKENS and lower and all("<" in t["content"] for t in given["added_tokens"])
+        self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
+        self.pre = Cached(self.model_ids)
         self.clear()
 
     def clear(self) -> None:
@@ -66,9 +89,25 @@ class Tokens:
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.stop, self.used = np.zeros(1 << 14, bool), 0
 
+    def model_ids(self, pre_token: str) -> list[int]:
+        if not pre_token.isascii():
+            pre_token = pre_token.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(pre_token)]
+
+    def word_ids(self, word: bytes) -> list[int]:
+        text = word.decode()
+        if not (self.known_form and PLAIN.fullmatch(text)):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        text = text.lower()
+        if text.isalpha():  # most words are one pre-token, or one and a mark
+            return self.pre[text]
+        if text[:-1].isalpha() and text[-1] in ",.":
+            return self.pre[text[:-1]] + self.pre[text[-1]]
+        return [i for token in self.pattern.findall(text) for i in self.pre[token]]
+
     def add(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        n, flat = len(self.place), [i for ids in found for i in ids]
+        found = list(map(self.word_ids, words))
+        n, flat = len(self.place), list(chain.from_iterable(found))
         while n + len(words) > len(self.start):
             self.start, self.size, self.stop = (np.r_[x, np.zeros_like(x)] for x in (self.start, self.size, self.stop))
         while self.used + len(flat) > len(self.ids):
@@ -81,19 +120,26 @@ class Tokens:
         self.place.update(zip(words, range(n, n + len(words)), strict=True))
         self.used += len(flat)
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words, and the places after those that end a sentence."""
-        if len(self.place) > CACHED_WORDS:
+    def encode(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each text its ids, and the places after those that end a sentence."""
+        split = [(text or b"").split() for text in texts]
+        words = list(chain.from_iterable(split))
+        if len(self.place) > MOST_WORDS:
             self.clear()
-        new = set(words).difference(self.place)
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0).tolist()
         if new:
-            self.add(sorted(new))
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(total)]
-        return ids, ends[self.stop[at]]
+            self.add(list(dict.fromkeys(words[i] for i in new)))
+            at[new] = [self.place[words[i]] for i in new]
+        end = 0
+        for own in split:
+            here = at[end : end + len(own)]
+            end += len(own)
+            sizes = self.size[here]
+            ends = np.cumsum(sizes)
+            total = int(ends[-1]) if len(ends) else 0
+            ids = self.ids[np.repeat(self.start[here] - ends + sizes, sizes) + np.arange(total)]
+            yield ids, ends[self.stop[here]]
 
 
 @lru_cache(maxsize=2)
@@ -212,8 +258,7 @@ def pack(
         for batch in batches:
             kind = batch.column(0).type
             for piece in pieces(batch):
-                for key, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                    ids, stops = tokens.encode((text or b"").split())
+                for key, (ids, stops) in zip(piece.column(0).to_pylist(), tokens.encode(piece.column(1).to_pylist()), strict=True):
                     held.append((key, np.r_[ids, np.uint32(settings.end_id)].astype(np.uint32), stops[stops < len(ids)]))
                     size += len(ids) + 1
                     if size >= settings.block:
