@@ -1,5 +1,5 @@
 import itertools
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -32,17 +32,16 @@ def test_positive_pairs_in_full(groups):
     assert len(rows) == len(expected) and {r["class"] for r in rows} == {1}
 
 
-def test_large_groups_become_weighted_chains(groups):
-    rows = k.positive_pairs(groups, full_up_to=2).collect()
-    for group, ids in members(groups).items():
-        own = [r for r in rows if r.group == group]
-        assert len(own) == len(ids) - 1
-        assert sum(r.weight for r in own) == pytest.approx((len(ids) - 1) / 2)
-        linked = {own[0].crime_id1}
-        while any((r.crime_id1 in linked) != (r.crime_id2 in linked) for r in own):
-            linked |= {c for r in own if r.crime_id1 in linked or r.crime_id2 in linked for c in (r.crime_id1, r.crime_id2)}
-        assert linked == ids
-        assert max(Counter(c for r in own for c in (r.crime_id1, r.crime_id2)).values()) <= 2
+def test_cells_do_not_change_the_pairs(groups):
+    whole, cut = (sorted(map(tuple, k.positive_pairs(groups, cell_pairs=n).collect())) for n in (1_000_000, 3))
+    assert whole == cut
+
+
+def test_a_group_of_five_thousand(spark):
+    n = 5000
+    groups = spark.range(n).select(F.lit("g").alias("group"), F.format_string("c%05d", "id").alias("crime_id"))
+    found = k.positive_pairs(groups).agg(F.count("*").alias("n"), F.sum("weight").alias("w")).first()
+    assert found.n == n * (n - 1) // 2 and found.w == pytest.approx((n - 1) / 2)
 
 
 def test_negative_pairs(groups):
@@ -91,7 +90,7 @@ def test_test_pairs(spark):
     new = spark.createDataFrame([("n1", "x"), ("n2", "z"), ("n3", None)], "crime_id string, place string")
     assert [tuple(r) for r in k.test_pairs(known, new, ["place"]).collect()] == [("n1", "k1", 1.0, 1)]
     many = spark.range(300).select(F.format_string("r%d", "id").alias("crime_id"), (F.col("id") % 3).alias("place"))
-    pairs = k.test_pairs(many, many.limit(60), ["place"], pairs_per_share=50).collect()
+    pairs = k.test_pairs(many, many.limit(60), ["place"], cell_pairs=50).collect()
     assert len(set(pairs)) == len(pairs) == 60 * 100
     assert [r.n_pairs for r in k.block_sizes(known, new, ["place"]).collect()] == [1]
     with pytest.raises(ValueError):

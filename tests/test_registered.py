@@ -24,17 +24,24 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(registered.oracle_sql()))
+# The queries of the optional subpackage have tests of their own in tests/llm.
+OWN = set(getattr(getattr(registered, "corpus", None), "QUERIES", ()))
+
+
+@pytest.mark.parametrize("name", sorted(set(registered.oracle_sql()) - OWN))
 def test_equals_sql(spark, duck, name):
     df = registered.queries()[name](spark, SF)
     assert difference(df, duck, registered.oracle_sql()[name]) is None
     check_plan(df)
 
 
-@pytest.mark.parametrize("name", sorted(set(registered.queries()) - set(registered.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(registered.queries()) - set(registered.oracle_sql()) - OWN))
 def test_gives_rows(spark, name):
     df = registered.queries()[name](spark, SF)
-    assert df.limit(1).count() == 1
+    # Every column of every row is computed: a count alone would prune them.
+    df.write.format("noop").mode("overwrite").save()
+    rows = df.limit(50).collect()
+    assert rows and not all(value is None for row in rows for value in row)
     check_plan(df)
 
 

@@ -1,4 +1,3 @@
-from collections import Counter
 
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -155,15 +154,16 @@ def test_groups_as_lists(spark):
     assert found == {1: [(1, 2, 3), (1, 5, 6)], 2: [(2, 0, 1)], None: [(None, 7, 7)]}
 
 
-def test_large_groups_come_in_parts(spark):
-    data = [("hot", i) for i in range(200)] + [("copies", 1)] * 300 + [("cold", 1)] * 2 + [(None, i) for i in range(60)]
-    df = spark.createDataFrame(data, "id string, v int")
-    lists = grouping.group_rows(df, list_rows=20).collect()
-    assert Counter((r.id, x.v) for r in lists for x in r.list) == Counter(data)
-    assert max(len(r.list) for r in lists) <= 60 and len([r for r in lists if r.id == "copies"]) > 5
-    assert len({(r.id, r.part) for r in lists}) == len(lists)
-    values = grouping.distinct_lists(df, "id", "v", "values").where("id = 'copies'").first()
-    assert values["values"] == [1]
+def test_every_group_comes_in_sorted_parts(spark):
+    data = [("hot", i) for i in range(200)] + [("copies", 1)] * 300 + [("cold", 1)] * 2 + [(None, i) for i in range(60)] + [("edge", i) for i in range(20)]
+    df = spark.createDataFrame(data, "id string, v int").repartition(5)
+    parts = {(r.id, r.part): [x.v for x in r.list] for r in grouping.group_rows(df, list_rows=20).collect()}
+    for key in {k for k, _ in data}:
+        own = sorted(v for k, v in data if k == key)
+        assert [parts.pop((key, p)) for p in range(-(-len(own) // 20))] == [own[i : i + 20] for i in range(0, len(own), 20)]
+    assert not parts
+    values = {(r.id, r.part): r["values"] for r in grouping.distinct_lists(df, "id", "v", "values", list_rows=50).collect()}
+    assert values["copies", 0] == [1] and values["hot", 3] == list(range(150, 200)) and len(values) == 9
 
 
 def test_roles(spark):

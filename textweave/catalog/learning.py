@@ -9,16 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textweave.catalog.common import load, rounded, tokens
+from textweave.functions.text import regex_tokens
 from textweave.operators import evaluate, learn
 from textweave.operators import features as ft
+from textweave.sources.files import spread
 
 PRICES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _labelled_terms(spark: SparkSession, sf: str) -> DataFrame:
-    df = ft.hashing_tf(tokens(spark, sf), output_col="features")
     labels = load(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    return df.join(labels, "doc_id").select("doc_id", "features", "label", (1.0 + F.col("label")).alias("weight"))
+    # Labels first: texts without one are neither tokenized nor hashed.
+    texts = load(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id")
+    words = spread(texts, "doc_id").select("doc_id", "label", regex_tokens(F.col("text")).alias("tokens"))
+    df = ft.hashing_tf(words, output_col="features")
+    return df.select("doc_id", "features", "label", (1.0 + F.col("label")).alias("weight"))
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,7 +11,6 @@ from textweave.functions import distance, text
 from textweave.functions import reports as rp
 from textweave.plans import linkage, overlap, similarity
 from textweave.session import materialise
-from textweave.sources.files import spread
 from textweave.sources.tables import associations
 
 BLOCK = ["place"]
@@ -37,8 +36,7 @@ def narrative_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    lines = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
-    return associations(spread(lines, "l_orderkey"), "l_orderkey", "l_partkey")
+    return associations(load(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
 
 
 def co_entity_groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,27 +57,26 @@ def _groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def positive_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """What all linked pairs give for each group: their number, weight, and a digest without order."""
     pairs = linkage.positive_pairs(_groups(spark, sf))
-    return pairs.select("crime_id1", "crime_id2", "group", rounded("weight"), "class")
+    number = F.conv(F.substring(F.md5(F.concat_ws("+", "crime_id1", "crime_id2")), 1, 12), 16, 10).cast("bigint")
+    return pairs.groupBy("group").agg(
+        F.count("*").alias("n_pairs"), F.round(F.sum("weight"), 6).alias("weight"), F.sum(number).alias("digest")
+    )
 
 
 def negative_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return linkage.negative_pairs(_groups(spark, sf), per_member=2)
+    """Unlinked pairs of each group in the default number, as many as linked ones on average."""
+    return linkage.negative_pairs(_groups(spark, sf)).groupBy("group").agg(F.count("*").alias("n_pairs"))
 
 
 def negative_pairs_of_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Each member of a group is the first record of two unlinked pairs."""
-    pairs = negative_pairs(spark, sf)
+    """Each member of a group is the first record of the default number of unlinked pairs."""
+    pairs = linkage.negative_pairs(_groups(spark, sf))
     each = pairs.groupBy("group", "crime_id1").agg(F.count("*").alias("n_pairs"))
     return each.select("group", F.col("crime_id1").alias("crime_id"), "n_pairs")
 
 
-def chained_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs and weight of each group when all groups are kept as chains."""
-    pairs = linkage.positive_pairs(_groups(spark, sf), full_up_to=1)
-    return pairs.groupBy("group").agg(F.count("*").alias("n_pairs"), F.sum("weight").alias("weight"))
-
-
 def _known_and_new(spark: SparkSession, sf: str, *extra: str) -> tuple[DataFrame, DataFrame]:
     """Reports of the last year against all earlier ones."""
     features = linkage.report_features(reports(spark, sf), keep=["occurrence_year", *extra])
@@ -142,10 +139,16 @@ def additive_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def linkage_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole chain over all reports: groups as chains, two unlinked pairs for each member."""
+    """The whole chain over all reports and linked pairs: how the held-out pairs were scored.
+
+    Thirteen unlinked pairs for each member, about as many as there are linked ones. Tags of the property words come from the words themselves, so that all 13 features take part.
+    """
     linked = edges(spark, sf).withColumn("crime_id", F.concat(F.lit("C"), "crime_id"))
-    found = linkage.link_reports(reports(spark, sf), linked, per_member=2, full_up_to=2)
-    return found.scores.select("crime_pair", "class", "model", "prediction", rounded("score", 4))
+    words = load(spark, sf, "part").select(F.explode(F.split(F.lower("p_name"), r"\s+")).alias("token")).distinct()
+    found = linkage.link_reports(reports(spark, sf), linked, tags=words.withColumn("tag", F.lit("NN")), per_member=13)
+    return found.scores.groupBy("model", "class").agg(
+        F.count("*").alias("n_pairs"), F.round(F.avg("prediction"), 3).alias("found"), F.round(F.avg("score"), 3).alias("score")
+    )
 
 
 QUERIES = {
@@ -158,7 +161,6 @@ QUERIES = {
     "positive_pairs": positive_pairs,
     "negative_pairs": negative_pairs,
     "negative_pairs_of_groups": negative_pairs_of_groups,
-    "chained_pairs": chained_pairs,
     "test_pairs": test_pairs,
     "block_sizes": block_sizes,
     "pair_features": pair_features,
@@ -262,14 +264,17 @@ ORACLES = {
                cast(ceil(sum(n * (n - 1) / 2) / count(*)) as bigint) as n_select from sizes""",
     "positive_pairs": f"""
         with {_GROUPS.format("")}, sized as (select "group", crime_id, count(*) over (partition by "group") as n from groups)
-        select a.crime_id as crime_id1, b.crime_id as crime_id2, "group", round(1 / a.n::double, 6) as weight,
-               cast(1 as integer) as "class"
-        from sized a join sized b using ("group") where a.crime_id < b.crime_id""",
+        select "group", count(*) as n_pairs, round(sum(1 / a.n::double), 6) as weight,
+               cast(sum(cast('0x' || left(md5(a.crime_id || '+' || b.crime_id), 12) as bigint)) as bigint) as digest
+        from sized a join sized b using ("group") where a.crime_id < b.crime_id group by "group\"""",
+    "negative_pairs": f"""
+        with {_GROUPS.format("")}, sizes as (select "group", count(*) as n from groups group by "group"),
+        k as (select least(cast(ceil(sum(n * (n - 1) / 2) / count(*)) as bigint), count(*) - 1) as k from sizes)
+        select "group", n * k as n_pairs from sizes, k where k > 0""",
     "negative_pairs_of_groups": f"""
-        with {_GROUPS.format("")} select "group", crime_id, cast(2 as bigint) as n_pairs from groups""",
-    "chained_pairs": f"""
-        with {_GROUPS.format("")}
-        select "group", count(*) - 1 as n_pairs, (count(*) - 1) / 2.0::double as weight from groups group by groups."group\"""",
+        with {_GROUPS.format("")}, sizes as (select count(*) as n from groups group by "group"),
+        k as (select least(cast(ceil(sum(n * (n - 1) / 2) / count(*)) as bigint), count(*) - 1) as n_pairs from sizes)
+        select "group", crime_id, n_pairs from groups, k where n_pairs > 0""",
     "test_pairs": f"""
         with {_BLOCKED} select x.crime_id as crime_id1, y.crime_id as crime_id2, 1.0::double as weight, cast(1 as integer) as "class"
         from new x join known y using (place)""",

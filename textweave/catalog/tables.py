@@ -104,7 +104,7 @@ def merge_right_wins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def array_intersection(spark: SparkSession, sf: str) -> DataFrame:
-    """Common tokens of a document and its benchmark namesake, and of neighbouring turns."""
+    """Common tokens of neighbouring turns."""
     turns = load(spark, sf, "conversations").select("conv_id", "turn", F.split(F.lower("text"), r"\s+").alias("words"))
     following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("words").alias("next_words"))
     common = F.array_sort(F.array_intersect("words", "next_words"))
@@ -154,10 +154,18 @@ def group_to_list(spark: SparkSession, sf: str) -> DataFrame:
 def distinct_lists(spark: SparkSession, sf: str) -> DataFrame:
     edges = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("crime_id"), F.col("l_partkey").cast("string").alias("person_id"))
     return grouping.distinct_lists(edges, "crime_id", "person_id", "persons").select(
-        "crime_id", F.array_join("persons", "+").alias("persons")
+        "crime_id", "part", F.array_join("persons", "+").alias("persons")
     )
 
 
+def hot_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Few keys with very many rows each: all parts of their lists."""
+    lines = load(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
+    lists = grouping.group_rows(lines, "l_returnflag", "lines", ["l_orderkey", "l_linenumber"], list_rows=1000)
+    item = F.transform("lines", lambda x: F.concat_ws(":", x["l_orderkey"], x["l_linenumber"]))
+    return lists.select("l_returnflag", "part", F.size("lines").alias("n_lines"), F.md5(F.array_join(item, ";")).alias("digest"))
+
+
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").join(load(spark, sf, "labels"), "doc_id", "left")
 
@@ -247,6 +255,7 @@ QUERIES = {
     "sample_by_hash": sample_by_hash,
     "group_to_list": group_to_list,
     "distinct_lists": distinct_lists,
+    "hot_lists": hot_lists,
     "fill_by_column": fill_by_column,
     "fill_nulls": fill_nulls,
     "drop_columns": drop_columns,
@@ -312,9 +321,16 @@ ORACLES = {
                string_agg(item, ';' order by item) as lines
         from items group by l_orderkey""",
     "distinct_lists": """
-        select crime_id, string_agg(person_id, '+' order by person_id) as persons
+        select crime_id, cast(0 as bigint) as part, string_agg(person_id, '+' order by person_id) as persons
         from (select distinct l_orderkey as crime_id, cast(l_partkey as varchar) as person_id from lineitem)
         group by crime_id""",
+    "hot_lists": """
+        with placed as (
+          select l_returnflag, l_orderkey, l_linenumber,
+                 row_number() over (partition by l_returnflag order by l_orderkey, l_linenumber) - 1 as place from lineitem)
+        select l_returnflag, place // 1000 as part, count(*) as n_lines,
+               md5(string_agg(l_orderkey || ':' || l_linenumber, ';' order by place)) as digest
+        from placed group by l_returnflag, place // 1000""",
     "fill_by_column": f"""
         select doc_id, coalesce(case when toxic = 0 then lang end, '') as note, coalesce(quality, -1) as quality
         from {_LABELLED}""",

@@ -101,13 +101,16 @@ def one_hot(df: DataFrame, input_col: str, output_col: str = "features", drop_la
 
 def word2vec(
     df: DataFrame, input_col: str = "tokens", output_col: str = "vector", vector_size: int = 100, min_count: int = 5,
-    num_partitions: int = 1, step_size: float = 0.025, max_iter: int = 1, seed: int = 1, window_size: int = 5,
+    num_partitions: int | None = None, step_size: float = 0.025, max_iter: int = 1, seed: int = 1, window_size: int = 5,
     max_sentence_length: int = 1000,
 ) -> Fitted:
     """Word vectors; the table gets the mean vector of each text.
 
-    Raise ``num_partitions`` with the corpus: one partition trains in one task.
+    Trains in as many tasks as the input has partitions, unless ``num_partitions`` is given.
+    The vocabulary, words of at least ``min_count``, and its vectors live on the driver and
+    in every task, as in MLlib: raise ``min_count`` with the corpus.
     """
+    num_partitions = num_partitions or max(1, df.rdd.getNumPartitions())
     return fit_transform(
         df, Word2Vec, inputCol=input_col, outputCol=output_col, vectorSize=vector_size, minCount=min_count,
         numPartitions=num_partitions, stepSize=step_size, maxIter=max_iter, seed=seed, windowSize=window_size,

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textweave.operators.ordering import numbered
+
 LIST_ROWS = 10_000
 
 
@@ -14,44 +16,26 @@ def group_rows(
     df: DataFrame, group_col: str = "id", output_col: str = "list", columns: Sequence[str] | None = None,
     list_rows: int = LIST_ROWS,
 ) -> DataFrame:
-    """``(group_col, part, output_col)``: the rows of each group as a list of structs.
+    """``(group_col, part, output_col)``: the rows of each group as lists of structs.
 
-    A group of up to ``list_rows`` rows is one list, part 0. A larger one is spread
-    over several parts by the hash of its rows, so no task holds it whole. In such
-    groups equal rows are first counted and then dealt out in blocks, because a hash
-    alone would put all copies of a row into one part.
+    The rows of a group stand in their order; part 0 has the first ``list_rows`` of them, part 1 the
+    next, and so on. A null key is a group like any other. Rows are numbered in ranges of the order,
+    so no task holds a group, and none is shuffled twice whole.
     """
     columns = list(columns or df.columns)
     row = F.struct(*columns)
-    sizes = df.groupBy(group_col).agg(F.count("*").alias("_size"))
-    large = sizes.where(F.col("_size") > list_rows).withColumn("_parts", F.ceil(F.col("_size") / (list_rows // 2)))
-
-    # Null-safe: a null key is a group like any other.
-    large = large.withColumnRenamed(group_col, "_key")
-    same_key = F.col(group_col).eqNullSafe(F.col("_key"))
-    small_lists = (
-        df.join(large, same_key, "left_anti")
-        .groupBy(group_col)
-        .agg(F.collect_list(row).alias(output_col))
-        .select(group_col, F.lit(0).cast("bigint").alias("part"), output_col)
-    )
-    # Blocks of equal rows are a quarter of a list at most, so parts stay even.
-    block = list_rows // 4 or 1
-    copies = (
-        df.groupBy(group_col, row.alias("_row")).agg(F.count("*").alias("_copies"))
-        .join(large, same_key)
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / block))))
-        .withColumn("part", F.pmod(F.xxhash64("_row", "_block"), F.col("_parts")))
-        .withColumn("_times", F.least(F.lit(block), F.col("_copies") - F.col("_block") * block).cast("int"))
-    )
-    large_lists = (
-        copies.groupBy(group_col, "part")
-        .agg(F.flatten(F.collect_list(F.array_repeat("_row", F.col("_times")))).alias(output_col))
+    rows = df.select(F.col(group_col).alias("_group"), row.alias("_row"))
+    rows = numbered(rows, [F.col("_group"), F.col("_row")], "_place")
+    first = rows.groupBy(F.col("_group").alias("_key")).agg(F.min("_place").alias("_first"))
+    return (
+        rows.join(first, F.col("_group").eqNullSafe(F.col("_key")))
+        .groupBy("_group", F.floor((F.col("_place") - F.col("_first")) / list_rows).alias("part"))
+        .agg(F.array_sort(F.collect_list(F.struct("_place", "_row"))).alias("_rows"))
+        .select(F.col("_group").alias(group_col), "part", F.col("_rows._row").alias(output_col))
     )
-    return small_lists.unionByName(large_lists)
 
 
 def distinct_lists(df: DataFrame, group_col: str, value_col: str, output_col: str, list_rows: int = LIST_ROWS) -> DataFrame:
-    """``(group_col, part, output_col)``: distinct values of each group, each list sorted."""
-    lists = group_rows(df.select(group_col, value_col).distinct(), group_col, "_rows", [value_col], list_rows)
-    return lists.select(group_col, "part", F.array_sort(F.col("_rows")[value_col]).alias(output_col))
+    """``(group_col, part, output_col)``: distinct values of each group, sorted over all its parts."""
+    lists = group_rows(df.select(group_col, value_col).distinct(), group_col, "_values", [value_col], list_rows)
+    return lists.select(group_col, "part", F.col("_values")[value_col].alias(output_col))

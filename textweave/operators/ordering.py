@@ -37,5 +37,22 @@ def running_totals(df: DataFrame, order: Sequence[Column], totals: Mapping[str,
 
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str = "row_number") -> DataFrame:
-    """Number rows 1, 2, 3, … along ``order`` (a unique key)."""
-    return running_totals(df, order, {name: F.lit(1).cast("bigint")})
+    """Number rows 1, 2, 3, … along ``order``; rows that are equal in it stand in any order.
+
+    One shuffle: rows are cut into sorted ranges and written with the number of their range and
+    their place in it, which Spark's increasing id holds. The rows of all earlier ranges are added.
+    """
+    ranged = materialise(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges"
+    )
+    # An increasing id has the partition above 33 bits for the row in it.
+    part, place = F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(part).agg(F.count("*").alias("_n"))
+    # One row per range: bounded by the number of shuffle partitions.
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (
+        ranged.withColumn("_range", part)
+        .join(F.broadcast(offsets), "_range")
+        .select(*df.columns, (place + F.col("_before") + 1).alias(name))
+    )

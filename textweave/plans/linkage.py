@@ -16,15 +16,14 @@ from textweave.operators import features as ft
 from textweave.operators import learn, text
 from textweave.operators.evaluate import area
 from textweave.operators.ordering import numbered
+from textweave.operators.pairing import CELL_PAIRS, grid_join
 from textweave.operators.relational import columns_by_type, merge_right_wins
 from textweave.operators.sampling import split_by_hash
-from textweave.plans.overlap import group_sizes, overlap_groups
+from textweave.plans.overlap import group_sizes, group_statistics, overlap_groups
 from textweave.plans.similarity import additive_similarity
 from textweave.session import materialise
 
 PAIR_COLUMNS = ("weight", "class", "crime_pair")
-FULL_UP_TO = 100
-SHARE_PAIRS = 1_000_000
 
 
 class Feature(NamedTuple):
@@ -82,59 +81,46 @@ def text_vectors(
     """Add the TF-IDF vectors of words (``cosineTFIDF``) and of word pairs (``cosineTFIDF2``)."""
     df = text.normalise(reports.na.fill("", [input_col]), input_col, "_words", stem)
     df = text.remove_stop_words(df, "_words", "_kept")
-    df = text.ngram(df, "_kept", "_pairs")
+    # Stems and tokens are formed once; both fits and the result read them from here.
+    df = materialise(text.ngram(df, "_kept", "_pairs"), "tokens")
     for tokens, output in (("_kept", "cosineTFIDF"), ("_pairs", "cosineTFIDF2")):
         df = ft.idf(ft.hashing_tf(df, tokens, f"{tokens}_tf", num_features), f"{tokens}_tf", output).table
     return df.drop("_words", "_kept", "_pairs", "_kept_tf", "_pairs_tf")
 
 
-def positive_pairs(groups: DataFrame, full_up_to: int = FULL_UP_TO, seed: int = 1) -> DataFrame:
+def positive_pairs(groups: DataFrame, cell_pairs: int = CELL_PAIRS) -> DataFrame:
     """Linked pairs: ``(crime_id1, crime_id2, group, weight, class)`` with class 1.
 
-    A group of n records up to ``full_up_to`` gives all its n(n-1)/2 pairs with weight
-    1/n. Their number is quadratic, so a larger group is kept as a chain instead: its
-    records in hashed order, each paired with the next, with weight 1/2. Every record
-    stays linked to its group, and the weights of a group add up to (n-1)/2 either way.
+    A group of n records gives all its n(n-1)/2 pairs with weight 1/n. Their number is quadratic by
+    definition: ``group_statistics`` tells it beforehand from counts. The work on a large group is
+    cut into cells of about ``cell_pairs`` pairs, which does not change the result.
     """
     sized = groups.select("group", "crime_id").join(group_sizes(groups), "group")
-    small = sized.where(F.col("size") <= full_up_to)
-    full = (
-        small.select("group", "size", F.col("crime_id").alias("crime_id1"))
-        .join(small.select("group", F.col("crime_id").alias("crime_id2")), "group")
-        .where("crime_id1 < crime_id2")
-        .select("crime_id1", "crime_id2", "group", (1 / F.col("size")).alias("weight"))
-    )
-    order = [F.col("group"), F.xxhash64("crime_id", F.lit(seed)), F.col("crime_id")]
-    row = numbered(sized.where(F.col("size") > full_up_to).select("group", "crime_id"), order, "row")
-    following = row.select("group", F.col("crime_id").alias("next_id"), (F.col("row") - 1).alias("row"))
-    chain = row.join(following, ["group", "row"]).select(
-        F.least("crime_id", "next_id").alias("crime_id1"), F.greatest("crime_id", "next_id").alias("crime_id2"),
-        "group", F.lit(0.5).alias("weight"),
-    )
-    return full.unionByName(chain).withColumn("class", F.lit(1))
+    first = sized.select("group", "size", F.col("crime_id").alias("crime_id1"))
+    second = groups.select("group", F.col("crime_id").alias("crime_id2"))
+    pairs = grid_join(first, second, ["group"], "crime_id1", "crime_id2", cell_pairs).where("crime_id1 < crime_id2")
+    return pairs.select("crime_id1", "crime_id2", "group", (1 / F.col("size")).alias("weight"), F.lit(1).alias("class"))
 
 
-def negatives_per_member(groups: DataFrame, select_ratio: int = 1, full_up_to: int = FULL_UP_TO) -> int:
-    """Pairs of :func:`positive_pairs` for each group on average, rounded up, times the ratio."""
-    size = F.col("size")
-    pairs = F.when(size <= full_up_to, size * (size - 1) / 2).otherwise(size - 1)
-    per_group = group_sizes(groups).agg(F.ceil(F.try_divide(F.sum(pairs), F.count("*"))).alias("k")).first()["k"]
-    return int(per_group or 0) * select_ratio
+def negatives_per_member(groups: DataFrame, select_ratio: int = 1) -> int:
+    """Unlinked pairs for each record: ``n_select`` of ``group_statistics``."""
+    return int(group_statistics(groups, select_ratio).first()["n_select"] or 0)
 
 
 def negative_pairs(
-    groups: DataFrame, select_ratio: int = 1, per_member: int | None = None, seed: int = 1,
-    exclude_linked: bool = False, full_up_to: int = FULL_UP_TO,
+    groups: DataFrame, select_ratio: int = 1, per_member: int | None = None, seed: int = 1, exclude_linked: bool = False
 ) -> DataFrame:
     """Unlinked pairs with weight 1 and class 0, in the columns of :func:`positive_pairs`.
 
     Each member of a group is paired with one member of k other groups. Groups stand
     in hashed order and the k follow each other in it from a hashed start, so they are
     distinct and never the member's own; the same seed gives the same pairs for any
-    partitioning. If there are not k other groups, all of them are taken. A pair may be
-    linked through a third group unless ``exclude_linked``.
+    partitioning. If there are not k other groups, all of them are taken. A record in
+    several groups may be paired with itself or with a record it is linked to through
+    another group, labelled 0 all the same, unless ``exclude_linked``; the training
+    default keeps such pairs.
     """
-    k = negatives_per_member(groups, select_ratio, full_up_to) if per_member is None else per_member
+    k = negatives_per_member(groups, select_ratio) if per_member is None else per_member
     shuffled = groups.select("group", "crime_id", F.xxhash64("group", F.lit(seed)).alias("_g"))
     order = [F.col("_g"), F.col("group"), F.xxhash64("crime_id", F.lit(seed)), F.col("crime_id")]
     members = materialise(numbered(shuffled, order, "row").drop("_g"), "members")
@@ -177,34 +163,22 @@ def _unlinked(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def test_pairs(
-    known: DataFrame, new: DataFrame, block_on: Sequence[str], key: str = "crime_id", pairs_per_share: int = SHARE_PAIRS
+    known: DataFrame, new: DataFrame, block_on: Sequence[str], key: str = "crime_id", cell_pairs: int = CELL_PAIRS
 ) -> DataFrame:
     """New records with the known records that agree on all ``block_on`` columns.
 
     Weight 1, class 1 as a placeholder. The blocks replace the product of the two
     tables: choose columns with many values, as a block gives new times known pairs.
-    A block of many pairs is cut into shares of its known records by their hash, each
-    joined on its own, so that no task forms much more than ``pairs_per_share`` pairs
-    of a block.
+    A block of many pairs is cut on both sides into cells of about ``cell_pairs`` pairs.
     """
     if not block_on:
         raise ValueError("test pairs need columns to block on")
     blocks = list(block_on)
-    shares = F.ceil(F.col("n_pairs") / pairs_per_share)
     # Ids and block columns are written once; whatever derived them is not run again.
     sides = [t.select(*blocks, F.col(key).alias("id"), F.lit(n).alias("_new")) for t, n in ((known, 0), (new, 1))]
     both = materialise(sides[0].unionByName(sides[1]), "blocks")
-    sizes = both.groupBy(*blocks).agg((F.sum("_new") * F.sum(1 - F.col("_new"))).alias("n_pairs"))
-    large = sizes.where(F.col("n_pairs") > pairs_per_share).select(*blocks, shares.alias("_shares"))
-    number = F.coalesce("_shares", F.lit(1))
-    sized = both.join(large, blocks, "left")
-    left = sized.where("_new = 1").select(
-        *blocks, F.col("id").alias("crime_id1"), F.explode(F.sequence(F.lit(0).cast("bigint"), number - 1)).alias("_share")
-    )
-    right = sized.where("_new = 0").select(
-        *blocks, F.col("id").alias("crime_id2"), F.pmod(F.xxhash64("id"), number).alias("_share")
-    )
-    return left.join(right, [*blocks, "_share"]).select(
+    left, right = (both.where(f"_new = {n}").select(*blocks, F.col("id").alias(f"crime_id{2 - n}")) for n in (1, 0))
+    return grid_join(left, right, blocks, "crime_id1", "crime_id2", cell_pairs).select(
         "crime_id1", "crime_id2", F.lit(1.0).alias("weight"), F.lit(1).alias("class")
     )
 
@@ -305,13 +279,11 @@ def _fit_scaling(pairs: DataFrame) -> PipelineModel:
 
 def training_pairs(
     reports: DataFrame, edges: DataFrame, key: str = "crime_id", select_ratio: int = 1, per_member: int | None = None,
-    seed: int = 1, similar: DataFrame | None = None, full_up_to: int = FULL_UP_TO,
+    seed: int = 1, similar: DataFrame | None = None,
 ) -> ScaledPairs:
     """Scaled features of linked and unlinked pairs of reports."""
     groups = materialise(overlap_groups(edges).select("group", "crime_id"), "groups")
-    links = positive_pairs(groups, full_up_to, seed).unionByName(
-        negative_pairs(groups, select_ratio, per_member, seed, full_up_to=full_up_to)
-    )
+    links = positive_pairs(groups).unionByName(negative_pairs(groups, select_ratio, per_member, seed))
     # Fitting the scaling and the models reads the pairs again and again.
     return scale_pairs(materialise(pair_features(links, reports, key, similar), "pairs"))
 
@@ -337,12 +309,18 @@ class Linkage(NamedTuple):
 def link_reports(
     reports: DataFrame, edges: DataFrame, key: str = "crime_id", tags: DataFrame | None = None,
     similar: DataFrame | None = None, select_ratio: int = 1, per_member: int | None = None, seed: int = 1,
-    train: float = 0.8, num_features: int = ft.FEATURE_SPACE, full_up_to: int = FULL_UP_TO,
+    train: float = 0.8, num_features: int = ft.FEATURE_SPACE, fit_share: float = 1.0,
 ) -> Linkage:
-    """The whole chain: text vectors, features, pairs, scaling, two classifiers, their areas under ROC."""
+    """The whole chain: text vectors, features, pairs, scaling, two classifiers, their areas under ROC.
+
+    ``fit_share`` may leave some of the training pairs out of the two fits, by hash; the pairs that
+    are scored and give the areas are complete in any case.
+    """
     features = materialise(report_features(text_vectors(reports, num_features=num_features), key, tags), "reports")
-    pairs = training_pairs(features, edges, key, select_ratio, per_member, seed, similar, full_up_to)
+    pairs = training_pairs(features, edges, key, select_ratio, per_member, seed, similar)
     first, second = split_by_hash(pairs.scaled, ["crime_pair"], train, 1 - train, seed)
+    if fit_share < 1:
+        first, _ = split_by_hash(first, ["crime_pair"], fit_share, 1 - fit_share, seed + 1)
     columns = dict(featuresCol="feature_vec", labelCol="class")
     logistic = learn.logistic_regression(first, **columns).model
     bayes = learn.naive_bayes(first, **columns).model

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,14 +33,14 @@ def local_session(app: str, cpus: int | None = None, memory: str = "12g") -> Spa
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named in ``spark.checkpoint.dir``.
 
-    Only a local session may run without that setting; it then gets a temporary
-    folder, because driver and executors are one process there.
+    Only a ``local[n]`` session may run without that setting, as tests do; it then gets a
+    temporary folder, because driver and executors are one process there.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="textweave-"))
     return context.getCheckpointDir()
@@ -50,6 +51,16 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/textweave/{label}-{uuid.uuid4().hex}"
 
 
+def remove_tables(spark: SparkSession) -> None:
+    """Remove all tables below the shared folder that ``materialise`` and its like have written.
+
+    For the end of a run: no result that still reads them can be computed afterwards.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/textweave")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 

@@ -27,13 +27,19 @@ def read_table(
     return reader.format(fmt).load(path)
 
 
+#: Tables of more bytes than this are never dealt out by ``spread``.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on a table that comes in fewer pieces than there are cores.
+    """Use all cores on a small table that comes in fewer pieces than there are cores.
 
     A small file is read by a few tasks, often one row group by one task. The rows are
-    then dealt out by the hash of ``keys``. A table of many pieces, as any large one,
-    is returned as it is: its rows are never shuffled here.
+    then dealt out by the hash of ``keys``. A table that Spark estimates at more than
+    ``SPREAD_BYTES`` is returned as it is whatever the cluster: it is never shuffled here.
     """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < 2 * cores else df
 
