@@ -52,6 +52,34 @@ def nb_priors(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("doc_id", "label", F.round(F.exp(prior), 6).alias("prior"))
 
 
+def nb_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Multinomial Bayes on four counts of a line: every prediction and its probability."""
+    counts = ["l_quantity", "discount", "tax", "l_linenumber"]
+    percent = {"discount": F.round(F.col("l_discount") * 100), "tax": F.round(F.col("l_tax") * 100)}
+    lines = load(spark, sf, "lineitem").withColumns(percent).withColumn("label", (F.col("l_returnflag") == "R").cast("int"))
+    df = learn.naive_bayes(ft.assemble(lines, counts).select("l_orderkey", "l_linenumber", "features", "label")).table
+    return learn.positive_score(df).select("l_orderkey", "l_linenumber", "prediction", rounded("score", 5))
+
+
+def lr_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """At the optimum of a logistic fit with a free intercept the residuals add up to nothing."""
+    df = learn.positive_score(learn.logistic_regression(_lines(spark, sf)).table)
+    return df.agg(F.count("*").alias("n"), F.round(F.abs(F.avg(F.col("label") - F.col("score"))), 3).alias("mean_residual"))
+
+
+def kmeans_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """Each point is with the nearest of the centres."""
+    done = learn.cluster(_points(spark, sf), "kmeans", k=10, seed=1)
+    v = vector_to_array("features")
+    gaps = [
+        F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+        for c in done.model.clusterCenters()
+    ]
+    df = done.table.select("vec_id", "prediction", F.array(*gaps).alias("gaps"))
+    nearest = F.element_at("gaps", F.col("prediction") + 1) <= F.array_min("gaps") + 1e-9
+    return df.select("vec_id", nearest.alias("nearest"))
+
+
 def dt_scores(spark: SparkSession, sf: str) -> DataFrame:
     df = learn.decision_tree(_lines(spark, sf)).table
     return df.groupBy("label", "prediction").agg(F.count("*").alias("n"))
@@ -86,8 +114,8 @@ def gaussian_mixture(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def topics(spark: SparkSession, sf: str) -> DataFrame:
-    df = ft.hashing_tf(tokens(spark, sf), output_col="features", num_features=4096)
-    found = learn.cluster(df, "lda", k=4, seed=1, maxIter=3).table
+    df = ft.hashing_tf(tokens(spark, sf), output_col="features")
+    found = learn.cluster(df, "lda", seed=1).table
     return found.select("doc_id", F.round(F.array_max(vector_to_array("topicDistribution")), 3).alias("largest_share"))
 
 
@@ -96,18 +124,18 @@ def recommendations(spark: SparkSession, sf: str) -> DataFrame:
     ratings = lines.join(load(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select(
         F.col("o_custkey").cast("int").alias("customer"), F.col("l_partkey").cast("int").alias("part"), F.col("l_quantity").cast("float").alias("rating")
     )
-    found = learn.recommend(ratings, "customer", "part", "rating", rank=4, maxIter=3)
+    found = learn.recommend(ratings, "customer", "part", "rating")
     return found.table.select("customer", "part", "rating", rounded("prediction", 2))
 
 
 def tuned(spark: SparkSession, sf: str) -> DataFrame:
-    estimator = LogisticRegression(maxIter=10)
-    found = learn.tune(_lines(spark, sf), estimator, {"regParam": [0.0, 0.1]}, BinaryClassificationEvaluator(), folds=2)
+    estimator = LogisticRegression()
+    found = learn.tune(_lines(spark, sf), estimator, {"regParam": [0.0, 0.1]}, BinaryClassificationEvaluator())
     return found.table.groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
 def tuned_by_split(spark: SparkSession, sf: str) -> DataFrame:
-    estimator = LogisticRegression(maxIter=10)
+    estimator = LogisticRegression()
     found = learn.tune(_lines(spark, sf), estimator, {"regParam": [0.0, 0.1]}, BinaryClassificationEvaluator(), train_ratio=0.75)
     return found.table.groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
@@ -160,6 +188,9 @@ QUERIES = {
     "linear_fit": linear_fit,
     "scored_again": scored_again,
     "kmeans": kmeans,
+    "kmeans_nearest": kmeans_nearest,
+    "nb_lines": nb_lines,
+    "lr_balance": lr_balance,
     "bisecting_kmeans": bisecting_kmeans,
     "gaussian_mixture": gaussian_mixture,
     "topics": topics,
@@ -190,6 +221,19 @@ def _sql_points(unit: str) -> str:
 
 
 ORACLES = {
+    "nb_lines": """
+        with x as (select l_orderkey, l_linenumber, l_returnflag = 'R' as label, l_quantity as a, round(l_discount * 100) as b,
+                          round(l_tax * 100) as c, l_linenumber::double as d from lineitem),
+        s as (select label, count(*) as n, sum(a) as a, sum(b) as b, sum(c) as c, sum(d) as d, sum(a + b + c + d) as t from x group by label),
+        m as (select label, ln(n + 1.0) as prior, ln(a + 1) - ln(t + 4) as a, ln(b + 1) - ln(t + 4) as b, ln(c + 1) - ln(t + 4) as c,
+                     ln(d + 1) - ln(t + 4) as d from s),
+        g as (select x.l_orderkey, x.l_linenumber,
+                     (p.prior - q.prior) + x.a * (p.a - q.a) + x.b * (p.b - q.b) + x.c * (p.c - q.c) + x.d * (p.d - q.d) as gap
+              from x, m p, m q where p.label and not q.label)
+        select l_orderkey, l_linenumber, case when gap > 0 then 1.0 else 0.0 end::double as prediction,
+               round(1 / (1 + exp(-gap)), 5)::double as score from g""",
+    "lr_balance": "select count(*) as n, 0.0::double as mean_residual from lineitem",
+    "kmeans_nearest": "select vec_id, true as nearest from embeddings",
     "nb_priors": """
         with w as (select quality as label, sum(1.0 + quality) as w from labels join documents using (doc_id) group by quality)
         select doc_id, quality as label,

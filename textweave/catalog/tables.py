@@ -280,6 +280,12 @@ ORACLES = {
         from lineitem group by l_partkey, l_suppkey""",
     "row_ids_unstable": "select count(*) as n_ids from orders",
     "random_split_is_whole": "select o_orderkey, count(*) as n_parts from orders group by o_orderkey",
+    "split_by_hash": """
+        select o_orderkey, case when cast('0x' || left(md5(o_orderkey || '|12345'), 8) as bigint) < round(4294967296 * 0.9)
+               then 'train' else 'test' end as part from orders""",
+    "sample_by_hash": """
+        select o_orderkey, o_totalprice from orders
+        where cast('0x' || left(md5(o_orderkey || '|1'), 8) as bigint) < 2147483648""",
     "split_by_hash_is_whole": "select o_orderkey, count(*) as n_parts from orders group by o_orderkey",
     "sql_table": SQL_TEXT.replace("{customers}", "customer").replace("{nations}", "nation").replace("{minimum}", "0"),
     "associations": """
