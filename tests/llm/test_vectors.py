@@ -93,4 +93,4 @@ def test_small_settings_still_index_every_row(spark):
     nodes = vector_graph.nodes_of(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding", "label")
     s = replace(Settings(), shard=16, max_centroids=3, fit_rows=30)
     members = vector_graph.memberships(nodes, vector_graph.centroids(spark, nodes, s), s)
-    assert members.filter("primary").count() == nodes.count() == 300
+    assert members.filter("primary").count() == nodes.count() == len(rows)
