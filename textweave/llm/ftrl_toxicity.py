@@ -72,7 +72,9 @@ def learn(texts: list[str], labels: list[int], settings: Settings) -> tuple[np.n
     z, n = np.zeros(n_places), np.zeros(n_places)
     l1 = max(0.5, settings.l1_per_row * len(texts))
     rows = [features_of(t, hashes, settings.bits).astype(np.int32) for t in texts]
-    seen = np.bincount(np.concatenate(rows), minlength=n_places) if rows else z
+    seen = np.zeros(n_places, np.int32)
+    for at in rows:
+        seen[at] += 1
     rows = [at[seen[at] >= settings.least_seen] for at in rows]
     bias = squares = 0.0
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 #: Distinct words kept in a worker's memory before the table is started anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: Bytes of text that a worker turns into arrays at once.
 SLICE_BYTES = 4 << 20
 
