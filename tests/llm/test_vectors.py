@@ -94,3 +94,22 @@ def test_small_settings_still_index_every_row(spark):
     s = replace(Settings(), shard=16, max_centroids=3, fit_rows=30)
     members = vector_graph.memberships(nodes, vector_graph.centroids(spark, nodes, s), s)
     assert members.filter("primary").count() == nodes.count() == len(rows)
+
+
+def clump(n, size=24, seed=4):
+    """Vectors within the threshold of each other, all in one label."""
+    rng = np.random.default_rng(seed)
+    centre = unit(rng.normal(size=(1, size)))
+    return [(i, [float(x) for x in np.float32(v)], 1) for i, v in enumerate(centre + rng.normal(size=(n, size)) * 0.08 / np.sqrt(size))]
+
+
+def test_a_clump_of_many_shards_is_found_whole(spark):
+    rows = clump(1000)
+    narrow = replace(Settings(), shard=32, overlap=2, candidates=12, degree=4)
+    df = spark.createDataFrame(rows, SCHEMA)
+    for settings in (narrow, replace(narrow, merge=0.9999)):  # one shard, or many that lead to each other
+        nodes = vector_graph.nodes_of(df, "vec_id", "embedding", "label")
+        counts, links = vector_graph.link_counts(nodes, 0.98, settings)
+        want = sum(n for n, _ in brute(rows, 0.98).values())
+        got = counts.agg(F.sum("found")).first()[0]
+        assert 0.97 * want <= got <= want

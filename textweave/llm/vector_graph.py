@@ -5,8 +5,10 @@ every vector joins the shards of its nearest few centroids, so shards overlap. E
 graph: the nearest vectors of each vector, robustly pruned, and the edges back. The adjacency lists
 of a vector from all its shards are united. Every vector is then searched for in its nearest shard,
 with all that the united lists lead to: a greedy search from the medoid finds the closest vectors,
-and the range is expanded along edges between vectors that are close enough. All links are verified
-by cosine in double precision.
+and the range is expanded along edges between vectors that are close enough. Where the range reaches
+vectors that belong to other shards, the search goes on there, round after round, until it reaches
+no new shard; a vector is counted in the shard it belongs to. Shards whose centroids are as close as
+the merging cosine are one. All links are verified by cosine in double precision.
 
 Identical vectors are one node with a count. A shard with too many vectors is cut into blocks by
 hash, each with a graph of its own, and is searched block by block; the vectors searched for come
@@ -21,10 +23,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textweave.llm.components import components
@@ -37,7 +40,8 @@ class Settings:
 
     Every vector is indexed whatever these bounds are. ``block`` bounds the vectors of a graph and
     ``slice`` those searched for in one task. ``near`` is the cosine from which the range is expanded
-    and from which united lists bring vectors of other shards in.
+    and from which united lists bring vectors of other shards in. Centroids with cosine ``merge`` or
+    more to an earlier one share its shard.
     """
 
     shard: int = 320
@@ -53,6 +57,7 @@ class Settings:
     block: int = 4096
     slice: int = 2048
     audit_rows: int = 256
+    merge: float = 0.98
     seed: int = 5
 
 
@@ -250,22 +255,78 @@ def centroids(spark: SparkSession, nodes: DataFrame, settings: Settings) -> dict
     return {r["label"]: np.frombuffer(r["centres"], np.float64).reshape(r["k"], -1) for r in found}
 
 
+def leaders(centres: np.ndarray, merge: float) -> np.ndarray:
+    """For each centroid the first one that it is merged into. Merged ones lie around one centroid, they form no chains."""
+    leader = np.full(len(centres), -1)
+    for i in range(len(centres)):
+        if leader[i] < 0:
+            leader[(leader < 0) & (centres @ centres[i] >= merge)] = i
+            leader[i] = i
+    return leader
+
+
 def memberships(nodes: DataFrame, centres: dict[str, np.ndarray], settings: Settings) -> DataFrame:
-    """``(label, shard, node, copies, vector, primary)``: each node in its nearest shards."""
+    """``(label, shard, node, copies, vector, primary, home)``: each node in its nearest shards; ``home`` is the nearest."""
+    leader = {label: leaders(c, settings.merge) for label, c in centres.items()}
 
     def assigned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for label, part in frame.groupby("label", sort=False):
                 if label not in centres:
-                    yield part.assign(shard=0, primary=True)
+                    yield part.assign(shard=0, primary=True, home=0)
                     continue
                 c = centres[label]
                 k = min(settings.overlap, len(c))
                 order = np.argsort(-(stacked(part["vector"]) @ c.T), axis=1, kind="stable")[:, :k]
+                shard = leader[label][order]
                 for j in range(k):
-                    yield part.assign(shard=order[:, j], primary=j == 0)
+                    new = (shard[:, :j] != shard[:, j : j + 1]).all(axis=1)
+                    yield part[new].assign(shard=shard[new, j], primary=j == 0, home=shard[new, 0])
+
+    return nodes.mapInPandas(assigned, "label string, node bigint, copies bigint, vector binary, shard int, primary boolean, home int")
+
+
+def dealt(around: DataFrame, asked: DataFrame, blocks: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """``around`` for each slice of the queries of its shard, and ``asked`` for each block of the shard asked."""
+    shards = ["label", "shard"]
+    searched = F.floor(F.count("*") / settings.slice).cast("int")
+    slices = asked.groupBy(*shards).agg((searched + 1).alias("slices"))
+    there = around.join(slices, shards).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    sent = (
+        asked.join(slices, shards)
+        .join(blocks, shards)
+        .withColumn("slice", F.pmod(F.xxhash64("node", F.lit(settings.seed + 2)), F.col("slices")).cast("int"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    )
+    return there, sent.select(*[F.col(c).alias(c) for c in (*shards, "block", "slice", "node", "vector")])
+
+
+KEYS = ["label", "shard", "block", "slice"]
+FINDS = "node bigint, found bigint, tied bigint, label string, shard int"
+
+
+def finds(wanted: np.ndarray, count: np.ndarray, ties: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """Counts, and links that tie the same as all ``ties``."""
+    a, b = tied(*(np.concatenate(part) for part in zip(*ties, strict=True)))
+    counted = pd.DataFrame({"node": wanted[count > 0], "found": count[count > 0]})
+    return pd.concat([counted, pd.DataFrame({"node": a, "tied": b})], ignore_index=True)
 
-    return nodes.mapInPandas(assigned, "label string, node bigint, copies bigint, vector binary, shard int, primary boolean")
+
+def framed(label: str, parts: list[pd.DataFrame]) -> pd.DataFrame:
+    frame = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
+    frame = frame.reindex(columns=["node", "found", "tied", "shard"]).astype("Int64")
+    frame.insert(3, "label", label)
+    return frame
+
+
+def blocks_of(members: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """The number of blocks of each shard, and the members with theirs."""
+    sizes = members.groupBy("label", "shard").agg(F.ceil(F.count("*") / settings.block).cast("int").alias("blocks"))
+    return sizes, members.join(sizes, ["label", "shard"]).withColumn("block", block_by_hash(settings))
+
+
+def block_by_hash(settings: Settings) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(settings.seed + 1)), F.col("blocks")).cast("int")
 
 
 def link_counts(nodes: DataFrame, threshold: float, settings: Settings) -> tuple[DataFrame, DataFrame]:
@@ -273,9 +334,8 @@ def link_counts(nodes: DataFrame, threshold: float, settings: Settings) -> tuple
     shards = ["label", "shard"]
     members = memberships(nodes, centroids(nodes.sparkSession, nodes, settings), settings)
     members = materialise(members, "memberships")
-    sizes = members.groupBy(*shards).agg(F.ceil(F.count("*") / settings.block).cast("int").alias("blocks"))
-    hashed = F.pmod(F.xxhash64("node", F.lit(settings.seed + 1)), F.col("blocks")).cast("int")
-    members = members.join(sizes, shards).withColumn("block", hashed)
+    home = members.filter("primary").select(*shards, "node", "copies", "vector", "home")
+    blocks, members = blocks_of(members, settings)
 
     def built(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("node").reset_index(drop=True)
@@ -299,30 +359,18 @@ def link_counts(nodes: DataFrame, threshold: float, settings: Settings) -> tuple
         .select(*shards, "blocks", F.col("edge.to").alias("node"))
         .distinct()
         .join(own.select(*shards, "node").hint("merge"), [*shards, "node"], "left_anti")
-        .withColumn("block", hashed)
-        .join(nodes.select("node", "copies", "vector").hint("merge"), "node")
-        .withColumn("primary", F.lit(False))
+        .withColumn("block", block_by_hash(settings))
+        .join(home.select("node", "copies", "vector", "home").hint("merge"), "node")
     )
-    columns = [*shards, "block", "blocks", "node", "copies", "vector", "primary"]
+    columns = [*shards, "block", "node", "copies", "vector", "home"]
     around = members.select(*columns).union(reached.select(*columns))
     around = materialise(around.join(united.hint("merge"), "node", "left"), "shards")
-    searched = F.floor(F.col("queries") / settings.slice).cast("int")
-    slices = around.groupBy(*shards).agg(F.sum(F.col("primary").cast("int")).alias("queries")).withColumn("slices", searched + 1)
-    slices = slices.select(*shards, "slices")
-    there = around.join(slices, shards).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    asked = (
-        around.filter("primary")
-        .join(slices, shards)
-        .withColumn("slice", F.pmod(F.xxhash64("node", F.lit(settings.seed + 2)), F.col("slices")).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    )
-    keys = [*shards, "block", "slice"]
-    asked = asked.select(*[F.col(c).alias(c) for c in (*keys, "node", "vector")])
+    reach = min(threshold, settings.near)
 
     def found(graph: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"node": np.zeros(0, np.int64), "found": np.zeros(0, np.int64), "tied": np.zeros(0, np.int64)})
         if graph.empty or queries.empty:
-            return empty
+            return framed("", [])
+        label, shard = graph["label"].iloc[0], graph["shard"].iloc[0]
         graph, queries = graph.sort_values("node"), queries.sort_values("node")
         node, x = graph["node"].to_numpy(), stacked(graph["vector"])
         sizes, targets = [], []
@@ -333,30 +381,45 @@ def link_counts(nodes: DataFrame, threshold: float, settings: Settings) -> tuple
             sizes.append(len(targets[-1]))
         medoid = int(np.argmax(x @ x.mean(axis=0)))
         search = Search(x, np.concatenate(targets).astype(np.int64), np.array(sizes, np.int64), medoid)
-        copies = graph["copies"].to_numpy()
-        rows, at = [], []
+        copies, homes = graph["copies"].to_numpy(), graph["home"].to_numpy()
         wanted, vectors = queries["node"].to_numpy(), stacked(queries["vector"])
+        count, ties, further = np.zeros(len(wanted), np.int64), [], []
         for start in range(0, len(wanted), 256):
-            q = wanted[start : start + 256]
+            q, v = wanted[start : start + 256], vectors[start : start + 256]
             own = np.minimum(np.searchsorted(node, q), len(node) - 1)
             own = np.where(node[own] == q, own, -1)
-            r, n = search.within(vectors[start : start + 256], own, threshold, settings.near, settings.beam)
-            other = node[n] != q[r]
-            rows.append(r[other] + start)
-            at.append(n[other])
-        row, at = np.concatenate(rows), np.concatenate(at)
-        count = np.bincount(row, copies[at], minlength=len(wanted)).astype(np.int64)
-        a, b = tied(wanted[row], node[at])
-        counted = pd.DataFrame({"node": wanted[count > 0], "found": count[count > 0], "tied": None})
-        return pd.concat([counted, pd.DataFrame({"node": a, "found": None, "tied": b})], ignore_index=True).astype("Int64")
-
-    result = (
-        there.select(*keys, "node", "copies", "vector", "edges")
-        .groupBy(*keys)
-        .cogroup(asked.groupBy(*keys))
-        .applyInPandas(found, "node bigint, found bigint, tied bigint")
-    )
-    result = materialise(result, "finds")
+            r, n = search.within(v, own, reach, reach, settings.beam)
+            elsewhere = homes[n] != shard
+            pairs = np.unique(np.c_[q[r[elsewhere]], homes[n[elsewhere]]], axis=0)
+            further.append(pd.DataFrame({"node": pairs[:, 0], "shard": pairs[:, 1]}))
+            hit = ~elsewhere & (node[n] != q[r])
+            r, n = r[hit], n[hit]
+            hit = np.einsum("ij,ij->i", v[r], x[n]) >= threshold
+            r, n = r[hit], n[hit]
+            count[start : start + 256] = np.bincount(r, copies[n], minlength=len(q))
+            ties.append(tied(q[r], node[n]))
+        return framed(label, [finds(wanted, count, ties), *further])
+
+    # The search goes on in every shard that the range of a vector reaches, until there is no new one.
+    asked = home.select(*shards, "node", "vector")
+    visited, results = asked.select(*shards, "node"), []
+    while True:
+        there, sent = dealt(around, asked, blocks, settings)
+        result = there.select(*KEYS, "node", "copies", "vector", "home", "edges").groupBy(*KEYS).cogroup(sent.groupBy(*KEYS)).applyInPandas(found, FINDS)
+        result = materialise(result, "finds")
+        results.append(result)
+        further = result.filter("shard is not null").select(*shards, "node").distinct()
+        further = materialise(further.join(visited.hint("merge"), [*shards, "node"], "left_anti"), "further")
+        if further.isEmpty():
+            break
+        visited = visited.union(further)
+        asked = further.join(home.select("node", "vector").hint("merge"), "node").select(*shards, "node", "vector")
+    return summed(results)
+
+
+def summed(results: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Counts by node, and links, of all finds."""
+    result = reduce(DataFrame.union, results)
     counts = result.filter("found is not null").groupBy("node").agg(F.sum("found").alias("found"))
     return counts, result.filter("tied is not null").select(F.col("node").alias("a"), F.col("tied").alias("b"))
 
