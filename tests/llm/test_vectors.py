@@ -113,3 +113,23 @@ def test_a_clump_of_many_shards_is_found_whole(spark):
         want = sum(n for n, _ in brute(rows, 0.98).values())
         got = counts.agg(F.sum("found")).first()[0]
         assert 0.97 * want <= got <= want
+
+
+def test_labels_with_low_recall_are_compared_exactly(spark):
+    rows = corpus()
+    poor = replace(Settings(), shard=64, block=100, slice=40, overlap=1, candidates=1, degree=1, beam=1, near=0.999)
+    got = {r.vec_id: r for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), settings=poor, least_recall=1.0).collect()}
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == brute(rows, 0.98)
+    assert all(r.audited_recall == 1 for r in got.values())
+
+
+def test_audit_looks_for_linked_nodes(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, v, 1) for i, v in enumerate(rng.normal(size=(400, 24)).tolist())]
+    few = replace(Settings(), audit_rows=2, audit_most=2)
+    assert near_duplicates(spark.createDataFrame(rows, SCHEMA), settings=few).first().audited_recall is None
+    rows += [(1000 + i, [x * (1 + 0.01 * i) + 0.01 * j for j, x in enumerate(rows[0][1])], 1) for i in range(1, 3)]
+    nodes = vector_graph.nodes_of(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding", "label")
+    none = spark.createDataFrame([], "node bigint, found bigint")
+    true, whole = vector_graph.audit_sample(nodes, none, 0.98, replace(few, audit_most=4096))
+    assert vector_graph.audit(true, none, whole) == 0

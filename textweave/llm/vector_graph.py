@@ -10,6 +10,9 @@ vectors that belong to other shards, the search goes on there, round after round
 no new shard; a vector is counted in the shard it belongs to. Shards whose centroids are as close as
 the merging cosine are one. All links are verified by cosine in double precision.
 
+Labels whose audited recall stays low are compared exactly: a vector meets every shard that can hold
+one within the threshold.
+
 Identical vectors are one node with a count. A shard with too many vectors is cut into blocks by
 hash, each with a graph of its own, and is searched block by block; the vectors searched for come
 in slices. So a label or a clump that holds a third of all vectors is many tasks, no link is lost
@@ -41,7 +44,8 @@ class Settings:
     Every vector is indexed whatever these bounds are. ``block`` bounds the vectors of a graph and
     ``slice`` those searched for in one task. ``near`` is the cosine from which the range is expanded
     and from which united lists bring vectors of other shards in. Centroids with cosine ``merge`` or
-    more to an earlier one share its shard.
+    more to an earlier one share its shard. The audit is enlarged from ``audit_rows`` nodes until it
+    has seen ``audit_links`` links, or has ``audit_most`` nodes.
     """
 
     shard: int = 320
@@ -58,6 +62,8 @@ class Settings:
     slice: int = 2048
     audit_rows: int = 256
     merge: float = 0.98
+    audit_links: int = 256
+    audit_most: int = 4096
     seed: int = 5
 
 
@@ -424,6 +430,56 @@ def summed(results: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     return counts, result.filter("tied is not null").select(F.col("node").alias("a"), F.col("tied").alias("b"))
 
 
+def exact_counts(nodes: DataFrame, threshold: float, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """As ``link_counts``, with every link: all vectors are compared that can be within the threshold.
+
+    A vector y lies in the cell of its nearest centroid c: for any centroid p, y(p - c) <= 0. A vector
+    q at a distance of d from y at most has q(p - c) <= d |p - c|. Cells without that are left out.
+    """
+    settings = replace(settings, shard=settings.block, overlap=1, merge=2.0)
+    centres = centroids(nodes.sparkSession, nodes, settings)
+    home = materialise(memberships(nodes, centres, settings), "homes").select("label", "shard", "node", "copies", "vector")
+    distance = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+
+    def sent_to(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for label, part in frame.groupby("label", sort=False):
+                if label not in centres:
+                    yield part.assign(shard=0)
+                    continue
+                c = centres[label]
+                apart = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
+                for start in range(0, len(part), 512):
+                    rows = part.iloc[start : start + 512]
+                    cos = stacked(rows["vector"]) @ c.T
+                    can = np.ones(cos.shape, bool)
+                    for p in np.argsort(-cos, axis=1)[:, :8].T:
+                        can &= np.take_along_axis(cos, p[:, None], 1) - cos <= distance * apart[p] + 1e-6
+                    row, shard = np.nonzero(can)
+                    yield rows.iloc[row].assign(shard=shard)
+
+    asked = home.select("label", "node", "vector").mapInPandas(sent_to, "label string, node bigint, vector binary, shard int")
+    asked = materialise(asked, "asked")
+    blocks, members = blocks_of(home, settings)
+    there, sent = dealt(members, asked, blocks, settings)
+
+    def compared(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if block.empty or queries.empty:
+            return framed("", [])
+        node, copies, x = block["node"].to_numpy(), block["copies"].to_numpy(), stacked(block["vector"])
+        wanted, vectors = queries["node"].to_numpy(), stacked(queries["vector"])
+        count, ties = np.zeros(len(wanted), np.int64), []
+        for start in range(0, len(wanted), 256):
+            q = wanted[start : start + 256]
+            r, n = np.nonzero((vectors[start : start + 256] @ x.T >= threshold) & (q[:, None] != node[None, :]))
+            count[start : start + 256] = np.bincount(r, copies[n], minlength=len(q))
+            ties.append(tied(q[r], node[n]))
+        return framed(block["label"].iloc[0], [finds(wanted, count, ties)])
+
+    result = there.select(*KEYS, "node", "copies", "vector").groupBy(*KEYS).cogroup(sent.groupBy(*KEYS)).applyInPandas(compared, FINDS)
+    return summed([materialise(result, "compared")])
+
+
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.98,
@@ -437,19 +493,25 @@ def near_duplicates(
 
     Rows are linked if their labels are equal and their cosine in double precision reaches
     ``threshold``; no link below it is given, and nearly all others are found. The share found is
-    measured (``audit``) and returned; below ``least_recall`` the graph is built and searched once
-    more with wider settings. Rows
-    with a null or zero vector, or a null or non-finite component, or a null label or id, or a
+    measured (``audit``) and returned, null if the audit met no link. Labels below ``least_recall`` are
+    searched once more with wider settings, and compared exactly if they stay below. Rows with a null or zero vector, or a null or non-finite component, or a null label or id, or a
     length of their own, link with nothing. Identical vectors of a label are always linked. Rows
     given twice are linked rows; ids are taken to be unique otherwise. An empty table gives an empty
     result; other columns are not read.
     """
     nodes = materialise(nodes_of(vectors, id_column, vector_column, label_column), "vectors")
-    for tried in (settings, replace(settings, overlap=2 * settings.overlap, degree=2 * settings.degree, beam=4 * settings.beam)):
-        counts, links = link_counts(nodes, threshold, tried)
-        recall = audit(nodes, counts, threshold, settings)
-        if recall >= least_recall:
+    counts, links = link_counts(nodes, threshold, settings)
+    true, whole = audit_sample(nodes, counts, threshold, settings)
+    wider = replace(settings, overlap=2 * settings.overlap, degree=2 * settings.degree, beam=4 * settings.beam)
+    for search in (lambda some: link_counts(some, threshold, wider), lambda some: exact_counts(some, threshold, settings)):
+        low = low_labels(true, counts, least_recall)
+        if not low:
             break
+        again = nodes.filter(F.col("label").isin(low))
+        more, ties = search(again)
+        counts = counts.join(again.select("node").hint("merge"), "node", "left_anti").union(more)
+        links = links.union(ties)
+    recall = audit(true, counts, whole)
     tied_nodes = components(links).withColumnRenamed("component", "root")
     by_node = (
         nodes.select("node", "copies")
@@ -466,29 +528,59 @@ def near_duplicates(
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("root", "id").alias("component_id"),
         F.coalesce("root", "id").eqNullSafe(F.col("id")).alias("kept"),
-        F.lit(recall).alias("audited_recall"),
+        F.lit(recall).cast("double").alias("audited_recall"),
     )
 
 
-def audit(nodes: DataFrame, found: DataFrame, threshold: float, settings: Settings = Settings()) -> float:
-    """Share of the links of some nodes that were found, against brute force.
+def audit_sample(nodes: DataFrame, found: DataFrame, threshold: float, settings: Settings = Settings()) -> tuple[DataFrame, bool]:
+    """``(label, node, true)``, the links of some nodes by brute force, and whether these are all nodes.
 
-    Compares a bounded sample of the nodes (smallest hashed ids) with all rows, in one pass.
-    ``found`` is ``(node, found)``.
+    The sample is bounded (smallest hashed ids, and as many again of the nodes with ``found`` links) and
+    compared with all rows, in one pass. It is enlarged while it has met too few links.
     """
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(settings.seed + 3)), "node").limit(settings.audit_rows)
-    asked = [(r["label"], r["node"], np.frombuffer(r["vector"], np.float64)) for r in sample.collect()]
+    spark, size = nodes.sparkSession, settings.audit_rows
+    by_hash = [F.xxhash64("node", F.lit(settings.seed + 3)), "node"]
+    linked = nodes.join(found.select("node").hint("merge"), "node", "left_semi")
+    while True:
+        samples = [frame.orderBy(*by_hash).limit(size).select("label", "node", "vector").collect() for frame in (nodes, linked)]
+        whole = len(samples[0]) < size
+        by_label: dict[str, dict[int, np.ndarray]] = {}
+        for r in samples[0] + samples[1]:
+            by_label.setdefault(r["label"], {})[r["node"]] = np.frombuffer(r["vector"], np.float64)
+        asked = {label: (np.array(list(own)), np.stack(list(own.values()))) for label, own in by_label.items()}
 
-    def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for label, part in frame.groupby("label", sort=False):
-                own = [(n, v) for l, n, v in asked if l == label]
-                if own:
-                    ids = np.array([n for n, _ in own])
-                    near = np.stack([v for _, v in own]) @ stacked(part["vector"]).T >= threshold
-                    near &= ids[:, None] != part["node"].to_numpy()[None, :]
-                    yield pd.DataFrame({"node": ids, "true": (near * part["copies"].to_numpy()).sum(axis=1)})
-
-    true = nodes.mapInPandas(compared, "node bigint, true bigint").groupBy("node").agg(F.sum("true").alias("true"))
-    sums = true.join(found, "node", "left").agg(F.sum("true"), F.sum(F.least(F.coalesce("found", F.lit(0)), "true"))).first()
-    return float(sums[1] / sums[0]) if sums[0] else 1.0
+        def compared(frames: Iterator[pd.DataFrame], asked: dict = asked) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for label, part in frame.groupby("label", sort=False):
+                    if label in asked:
+                        ids, own = asked[label]
+                        near = own @ stacked(part["vector"]).T >= threshold
+                        near &= ids[:, None] != part["node"].to_numpy()[None, :]
+                        yield pd.DataFrame({"label": label, "node": ids, "true": (near * part["copies"].to_numpy()).sum(axis=1)})
+
+        true = nodes.mapInPandas(compared, "label string, node bigint, true bigint").groupBy("label", "node").agg(F.sum("true").alias("true"))
+        true = materialise(true, "audit")
+        seen = true.agg(F.sum("true")).first()[0] or 0
+        if whole or seen >= settings.audit_links or size >= settings.audit_most:
+            return true, whole
+        size *= 4
+
+
+def shares(true: DataFrame, found: DataFrame) -> DataFrame:
+    both = true.join(found.hint("merge"), "node", "left")
+    return both.select("label", "true", F.least(F.coalesce("found", F.lit(0)), "true").alias("got"))
+
+
+def low_labels(true: DataFrame, found: DataFrame, least_recall: float) -> list[str]:
+    """Labels of the sample with a lower share of links found."""
+    sums = shares(true, found).groupBy("label").agg(F.sum("true").alias("true"), F.sum("got").alias("got"))
+    return [r["label"] for r in sums.filter(F.col("got") < least_recall * F.col("true")).collect()]
+
+
+def audit(true: DataFrame, found: DataFrame, whole: bool) -> float | None:
+    """Share of the links of the sampled nodes that were found; ``found`` is ``(node, found)``.
+
+    Without a link there is nothing to measure: null, or 1 if the sample is the whole table.
+    """
+    sums = shares(true, found).agg(F.sum("true"), F.sum("got")).first()
+    return float(sums[1] / sums[0]) if sums[0] else 1.0 if whole else None
