@@ -46,3 +46,23 @@ def test_table(spark):
     got = sorted(map(tuple, extract(pages).collect()), key=str)
     assert got == sorted([(1, "u", TEXT, len(TEXT)), (1, "u", TEXT, len(TEXT)), (2, None, "", 0), (None, "v", "", 0)], key=str)
     assert extract(pages.limit(0)).count() == 0
+
+
+PARAS = "<p>" + "many words of running text " * 5 + "<p>" + "more words of running text " * 5
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<body><p class=notice>Our shop moved{PARAS}",
+        f"<body><div><ul><li class=ad>Buy<li>one</ul>{PARAS}</div>",
+        f"<body><ul><li class=ad>Buy<li>{PARAS}</ul>",
+        f"<table><tr><td class=sidebar>menu<td>{PARAS}</table>",
+        f"<table><tr class=ad><td>Buy<tr><td>{PARAS}</table>",
+        f"<body><div><span class=ad>Buy</div><div>{PARAS}</div>",
+        f"<head><title>No</title><div>{PARAS}</div>",
+    ],
+)
+def test_dropped_parts_end_like_others(html):
+    text = main_text(html)
+    assert text.count("running") == 10 and "Buy" not in text and "menu" not in text and "shop" not in text

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -40,6 +40,8 @@ ENDS = {
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}),
+    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
+    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
@@ -61,73 +63,77 @@ MARKS = re.compile(
     re.IGNORECASE,
 )
 KEPT = {"html", "body", "article", "main"}
+#: What may stand in a head; any other element ends it.
+IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title", "object"}
+#: Marks of nodes: never article text, or named like it.
+NEVER, NAMED = 2, 1
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "breaks", "mark")
 
-    def __init__(self, tag: str, parent: Node | None) -> None:
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Node | None, mark: int = 0) -> None:
+        self.tag, self.parent, self.mark = tag, parent, mark
+        self.breaks = 0
         #: Child nodes and texts in page order.
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _unwanted(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
+def _mark(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> int:
     if tag in DROPPED or tag == "header" and not inside_article:
-        return True
+        return NEVER
     if tag in KEPT:
-        return False
+        return 0
+    named = 0
     for name, value in attrs:
         if name in ("class", "id") and value and MARKS.search(value):
-            return True
+            named = NAMED
         if name == "role" and value and value.strip().lower() in ROLES:
-            return True
+            return NEVER
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return NEVER
         if name == "style" and value and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
-            return True
-    return False
+            return NEVER
+    return named
 
 
 class Page(HTMLParser):
-    """The tree of a page without what is never article text. Broken markup is taken as it comes."""
+    """The tree of a page, parts that are no article text marked. Broken markup is taken as it comes."""
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", None)
         self.body: Node | None = None
-        #: Open elements inside a dropped one, that one first.
-        self.skipped: list[str] = []
         self.articles = 0
         self.feed(html)
         self.close()
 
+    def _outermost_marked(self) -> Node | None:
+        found, node = None, self.at
+        while node is not None:
+            if node.mark:
+                found = node
+            node = node.parent
+        return found
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.skipped:
-            if self.skipped[0] == "head" and tag == "body":
-                self.skipped = []
-            else:
-                if tag not in VOID and not (tag in ENDS and self.skipped[-1] == tag):
-                    self.skipped.append(tag)
-                return
+        if self.at.tag == "head" and tag not in IN_HEAD:
+            self._end({"head"}, set())
         if tag in CLOSES_P:
             self._end({"p"}, {"article", "section", "div", "td", "li", "body", "main", "blockquote"})
         if tag in ENDS:
-            self._end(*ENDS[tag])
+            while self._end(*ENDS[tag]):
+                pass
         if tag in VOID:
             if tag in ("br", "hr"):
                 self.at.items.append(" ")
-                self.at.tags += 1
-            return
-        if tag in ("html", "body") and self.body is not None:
+                self.at.breaks += 1
             return
-        if _unwanted(tag, attrs, self.articles > 0):
-            self.at.items.append("" if tag in INLINE else " ")
-            self.skipped = [tag]
+        if tag in ("html", "body") and (self.body is not None or self._outermost_marked()):
             return
-        node = Node(tag, self.at)
+        node = Node(tag, self.at, _mark(tag, attrs, self.articles > 0))
         self.at.items.append(node)
         self.at = node
         self.articles += tag in ("article", "main")
@@ -140,31 +146,49 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.skipped:
-            if tag in self.skipped:
-                del self.skipped[len(self.skipped) - 1 - self.skipped[::-1].index(tag) :]
-            elif tag in ("body", "html"):
-                self.skipped = []
+        if tag in ("body", "html"):
+            marked = self._outermost_marked()
+            if marked is not None:
+                self._leave(marked)
             return
-        if tag in ("body", "html") or tag in VOID:
+        if tag in VOID:
             return
-        self._end({tag}, {"article", "section"} - {tag} if tag in INLINE or tag == "p" else set())
+        small = tag in INLINE or tag == "p"
+        self._end({tag}, {"article", "section"} - {tag} if small else set(), small)
 
-    def _end(self, tags: set[str], up_to: set[str]) -> None:
+    def _end(self, tags: set[str], up_to: set[str], within_marked: bool = False) -> bool:
         node = self.at
         while node.parent is not None and node.tag not in tags:
-            if node.tag in up_to:
-                return
+            if node.tag in up_to or within_marked and node.mark and node.tag not in INLINE:
+                return False
             node = node.parent
         if node.parent is None:
-            return
+            return False
+        self._leave(node)
+        return True
+
+    def _leave(self, node: Node) -> None:
         while self.at is not node.parent:
             self.articles -= self.at.tag in ("article", "main")
             self.at = self.at.parent
 
     def handle_data(self, data: str) -> None:
-        if not self.skipped:
-            self.at.items.append(data)
+        self.at.items.append(data)
+
+
+def _drop(top: Node, dropped: Callable[[Node], int]) -> None:
+    """Leave out the nodes below ``top``, with all they hold; blocks leave a space."""
+    waiting = [top]
+    while waiting:
+        node = waiting.pop()
+        if any(type(item) is Node and dropped(item) for item in node.items):
+            node.items = [("" if i.tag in INLINE else " ") if type(i) is Node and dropped(i) else i for i in node.items]
+        waiting += [item for item in node.items if type(item) is Node]
+
+
+def without_marked(body: Node) -> None:
+    """Leave out what is never article text."""
+    _drop(body, lambda n: n.mark)
 
 
 def _in_order(top: Node) -> list[Node]:
@@ -188,6 +212,9 @@ def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, bo
 def measure(body: Node) -> list[Node]:
     """Set the counts, densities and sums of all nodes of the body."""
     nodes = _in_order(body)
+    for node in nodes:
+        node.chars = node.link_chars = node.link_tags = 0
+        node.tags, node.total = node.breaks, 0.0
     for node in reversed(nodes):
         own = sum(len("".join(item.split())) for item in node.items if type(item) is str)
         node.chars += own
@@ -254,7 +281,9 @@ def block_text(part: Node) -> str:
 def main_text(html: str) -> str:
     """The article of a page as blocks joined by one space; empty if there is none."""
     page = Page(html)
-    return " ".join(t for t in map(block_text, chosen_parts(page.body or page.root)) if t)
+    body = page.body or page.root
+    without_marked(body)
+    return " ".join(t for t in map(block_text, chosen_parts(body)) if t)
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
