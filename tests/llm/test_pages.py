@@ -66,3 +66,11 @@ PARAS = "<p>" + "many words of running text " * 5 + "<p>" + "more words of runni
 def test_dropped_parts_end_like_others(html):
     text = main_text(html)
     assert text.count("running") == 10 and "Buy" not in text and "menu" not in text and "shop" not in text
+
+
+@pytest.mark.parametrize("name", ["class='content no-sidebar'", "class='layout with-sidebar'", "class=has-header", "class=search-results", "id=legal-news"])
+def test_a_marked_wrapper_keeps_its_article(name):
+    for article in (PARAS, f"<h1>Title</h1>{PARAS}", f"<article>{PARAS}</article>"):
+        text = main_text(f"<body><div class=ad>Buy now</div><div {name}>{article}<div class=comments>I disagree</div></div><div class=footer>me</div>")
+        assert text.count("running") == 10 and "Buy" not in text and "disagree" not in text
+    assert "disagree" not in main_text(f"<body><div><h1>Title</h1>{PARAS}</div><div class=comments>{'<p>I disagree with all of it' * 20}</div>")

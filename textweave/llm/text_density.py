@@ -7,7 +7,8 @@ least density on its path to the body is the threshold that other parts have to
 to the article too.
 
 Sun, Song, Liao, "DOM based content extraction via text density" (2011). Parts that are never
-article text (menus, forms, scripts, adverts, comments of readers, ...) leave the page first.
+article text (menus, forms, scripts, ...) leave the page first, and parts whose names say so
+(adverts, comments of readers, ...) unless they hold the article (``without_marked``).
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ DROPPED = {
 ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
 #: Words in a class or id that mark what is not the article.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:s|tion|tions|ted)?|banners?|cookies?|consent|gdpr|"
+    r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bwith[_-])(?<!\bhas[_-])(?<!\bwithout[_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:s|tion|tions|ted)?|banners?|cookies?|consent|gdpr|"
     r"notices?|notifications?|popups?|modals?|overlays?|newsletters?|subscri(?:be|ption)s?|signup|login|paywall|sidebars?|side-?bar|"
     r"menus?|nav|navbar|navigation|navs?|breadcrumbs?|pagination|pager|header|masthead|footer|foot|comments?|commentlist|disqus|"
     r"replies|respond|social|shar(?:e|es|ing)|related|recommend(?:ed|ations?)|widgets?|toolbars?|search|skip(?:-?link)?|"
@@ -176,7 +177,7 @@ class Page(HTMLParser):
         self.at.items.append(data)
 
 
-def _drop(top: Node, dropped: Callable[[Node], int]) -> None:
+def _drop(top: Node, dropped: Callable[[Node], bool]) -> None:
     """Leave out the nodes below ``top``, with all they hold; blocks leave a space."""
     waiting = [top]
     while waiting:
@@ -187,8 +188,44 @@ def _drop(top: Node, dropped: Callable[[Node], int]) -> None:
 
 
 def without_marked(body: Node) -> None:
-    """Leave out what is never article text."""
-    _drop(body, lambda n: n.mark)
+    """Leave out what is never article text, and what is named like it and does not hold the article.
+
+    The article is where the page has an ``article`` or ``main`` element. Without one, a named part is
+    taken to hold it that has the largest density sum or most of the characters outside links, unless
+    there is a heading and a fair share of these characters outside all named parts.
+    """
+    _drop(body, lambda n: n.mark == NEVER)
+    nodes = _in_order(body)
+    if not any(n.mark for n in nodes):
+        return
+    measure(body)
+    unlinked = lambda n: n.chars - n.link_chars
+    holding: set[Node] = set()
+    articles = [n for n in nodes if n.tag in ("article", "main")]
+    for n in articles:
+        while n not in holding:
+            holding.add(n)
+            n = body if n is body else n.parent
+    if not articles:
+        inside: set[Node] = set()
+        for n in nodes:  # parents first
+            if n.mark or n.parent in inside:
+                inside.add(n)
+        outer = [n for n in inside if n.parent not in inside]
+        outside = unlinked(body) - sum(map(unlinked, outer))
+        headed = any(n.tag == "h1" and n not in inside for n in nodes)
+        if not headed or outside < unlinked(body) / 4:
+            holding.update(_path(max(nodes, key=lambda n: n.total), body))
+            holding.update(n for n in nodes if 2 * unlinked(n) > unlinked(body))
+    _drop(body, lambda n: n.mark == NAMED and n not in holding)
+
+
+def _path(node: Node, body: Node) -> list[Node]:
+    """The node and all above it up to the body."""
+    path = [node]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
+    return path
 
 
 def _in_order(top: Node) -> list[Node]:
