@@ -137,3 +137,12 @@ def test_mixing_is_native(spark):
     rated = soft_mixing.posteriors(docs(spark, rows), spark.createDataFrame(labels, "doc_id bigint, domain string"), list(DOMAINS))
     plan = rated._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_a_rare_domain_reaches_its_target(spark):
+    rows = [(i, "k", 1, 100, [1.0, 0.0] if i else [0.0, 1.0]) for i in range(2000)]
+    members = spark.createDataFrame(rows, "doc_id bigint, key string, copies bigint, n_tokens bigint, posterior array<double>")
+    one = soft_mixing.fitted_rates(members, {"a": 0.95, "b": 0.05}).filter("doc_id = 0").first()
+    assert abs(one.rate * 100 - one.aims[1]) < 0.01 * one.aims[1] and abs(one.reached[1] - one.aims[1]) < 0.01 * one.aims[1]
+    capped = soft_mixing.fitted_rates(members, {"a": 0.95, "b": 0.05}, most=16.0).filter("doc_id = 0").first()
+    assert capped.rate == 16 and abs(capped.reached[1] - 1600) < 1

@@ -60,7 +60,8 @@ def op7_ball_hashing(spark: SparkSession, sf: str) -> DataFrame:
 def op8_soft_mixing(spark: SparkSession, sf: str) -> DataFrame:
     rated = soft_mixing.rates(load(spark, sf, "documents"), domains(load(spark, sf, "labels")), TARGETS)
     shares = [F.col("posterior")[i].alias(f"p_{name}") for i, name in enumerate(TARGETS)]
-    return rated.select("doc_id", "copies", "n_tokens", *shares, "rate")
+    totals = [F.col(c)[i].alias(f"{c}_{name}") for c in ("aims", "reached") for i, name in enumerate(TARGETS)]
+    return rated.select("doc_id", "copies", "n_tokens", *shares, "rate", *totals)
 
 
 def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:

@@ -18,6 +18,7 @@ DataFrame expressions only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -144,9 +145,10 @@ def solved(matrix: list[list[float]], right: list[float]) -> list[float]:
 
 
 def fitted_rates(
-    members: DataFrame, targets: Mapping[str, float], least: float = 0.0, most: float = 16.0, budget: float | None = None, settings: Settings = Settings()
+    members: DataFrame, targets: Mapping[str, float], least: float = 0.0, most: float = math.inf, budget: float | None = None, settings: Settings = Settings()
 ) -> DataFrame:
-    """``members`` (see ``posteriors``, domains in the order of ``targets``) with the column ``rate``.
+    """``members`` (see ``posteriors``, domains in the order of ``targets``) with the column ``rate``,
+    and in each row ``aims``, the wanted tokens of each domain, and ``reached``, those that the rates give.
 
     ``budget`` is the wanted number of expected tokens, by default those there are; if rates may not
     fall below one, it is the least number with which no domain has to shrink. Targets out of reach
@@ -160,7 +162,8 @@ def fitted_rates(
     have = [x or 0.0 for x in found[:k]]
     total = sum(have)
     if not total:
-        return members.withColumn("rate", F.lit(1.0))
+        nothing = F.array(*[F.lit(0.0)] * k)
+        return members.withColumns({"rate": F.lit(1.0), "aims": nothing, "reached": nothing})
     shares = [w / sum(targets.values()) for w in targets.values()]
     if budget is None:
         budget = max((h / s for h, s in zip(have, shares, strict=True) if s), default=total) if least >= 1 else total
@@ -205,13 +208,14 @@ def fitted_rates(
         gaps, free = new_gaps, new_free
         if done:
             break
-    return members.withColumn("rate", rate)
+    reached = F.array(*[F.lit(g + a) for g, a in zip(gaps, aims, strict=True)])
+    return members.withColumns({"rate": rate, "aims": F.array(*map(F.lit, aims)), "reached": reached})
 
 
 def rates(
-    docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], least: float = 0.0, most: float = 16.0, budget: float | None = None, settings: Settings = Settings()
+    docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], least: float = 0.0, most: float = math.inf, budget: float | None = None, settings: Settings = Settings()
 ) -> DataFrame:
-    """``(doc_id, key, copies, n_tokens, posterior, rate)`` for each id and text of ``docs (doc_id, text)``.
+    """``(doc_id, key, copies, n_tokens, posterior, rate, aims, reached)`` for each id and text of ``docs (doc_id, text)``.
 
     ``labelled`` is ``(doc_id, domain)``; ``targets`` gives the wanted share of each domain. Null and
     empty texts have no tokens: their posterior is the prior. Rows given twice are one row here with
