@@ -18,6 +18,7 @@ from textweave.llm import (
     text_density,
     token_counts,
     vector_graph,
+    weak_pii,
     window_packing,
 )
 from textweave.llm.tables import domains, load
@@ -72,6 +73,11 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(load(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_weak_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = weak_pii.personal_data(load(spark, sf, "documents"))
+    return found.withColumn("base_sha256", F.sha2("base_spans", 256)).drop("base_spans")
+
+
 QUERIES = {
     "op1_text_density": op1_text_density,
     "op2_repeated_windows": op2_repeated_windows,
@@ -83,6 +89,7 @@ QUERIES = {
     "op8_soft_mixing": op8_soft_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_weak_pii": op11_weak_pii,
     "pipeline": corpus_pipeline.run,
 }
 
