@@ -12,6 +12,7 @@ from textweave.llm import (
     ball_hashing,
     digest_index,
     ftrl_toxicity,
+    periodic_runs,
     perspectives,
     repeats,
     soft_mixing,
@@ -78,6 +79,12 @@ def op11_weak_pii(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2("base_spans", 256)).drop("base_spans")
 
 
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic_runs.find_runs(load(spark, sf, "documents"), prepare=periodic_runs.tail_repeated)
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("runs", "collapsed")]
+    return found.select("doc_id", "n_words", "n_runs", "start", "length", "period", "exponent_milli", *digests)
+
+
 QUERIES = {
     "op1_text_density": op1_text_density,
     "op2_repeated_windows": op2_repeated_windows,
@@ -90,6 +97,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
     "op11_weak_pii": op11_weak_pii,
+    "op12_periodic_runs": op12_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
