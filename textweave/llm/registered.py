@@ -14,6 +14,7 @@ from textweave.llm import (
     ftrl_toxicity,
     periodic_runs,
     perspectives,
+    phrases,
     repeats,
     soft_mixing,
     text_density,
@@ -85,6 +86,10 @@ def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_runs", "start", "length", "period", "exponent_milli", *digests)
 
 
+def op13_phrase_tries(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(load(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_text_density": op1_text_density,
     "op2_repeated_windows": op2_repeated_windows,
@@ -98,6 +103,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_weak_pii": op11_weak_pii,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_phrase_tries": op13_phrase_tries,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -146,5 +152,37 @@ spans as (
 select conv_id, participant, part, count(*) as n_turns, string_agg(head || body, '' order by place) as text,
        coalesce(string_agg((upto - length(body)) || ':' || upto, ',' order by place) filter (where own), '') as mask
 from spans group by all
+""",
+    "op13_phrase_tries": r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+worded as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+grams as (
+  select lang, k, array_to_string(list_slice(w, s, s + k - 1), ' ') as phrase
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as s from worded, (select unnest([1, 2, 3, 4]) as k))),
+freq as (select lang, k as size, phrase, count(*)::hugeint as f from grams group by all),
+totals as (select lang, sum(f) as n from freq where size = 1 group by lang),
+often as (select *, string_split(phrase, ' ') as w from freq where f >= 30),
+cuts as (
+  select lang, size, phrase, w, f as a, unnest(range(1, size)) as k from often where size >= 2),
+scores as (
+  select c.*, x.f as l, y.f as r, 2000000 * a // (x.f + y.f) as score
+  from cuts c join freq x on x.lang = c.lang and x.phrase = array_to_string(list_slice(c.w, 1, c.k), ' ')
+  join freq y on y.lang = c.lang and y.phrase = array_to_string(list_slice(c.w, c.k + 1, c.size), ' ')),
+lowest as (
+  select * from scores qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+held as (
+  select lang, array_to_string(list_slice(w, s, s + m - 1), ' ') as phrase, max(f) as longer
+  from (select lang, w, f, m, unnest(range(1, size - m + 2)) as s from often, (select unnest([2, 3]) as m) where size > m)
+  group by all),
+kept as (
+  select lang, phrase, a, l, r, score from lowest left join held using (lang, phrase)
+  where longer is null or 100 * longer < 80 * a),
+ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from ranked join totals using (lang) where rank <= 2000
 """,
 }
