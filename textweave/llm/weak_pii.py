@@ -190,8 +190,9 @@ def votes(kind: int, text: str, start: int, end: int, is_base: bool) -> tuple[in
         grouping = 1 if len(groups) == 1 or (len(groups) > 2 and max(groups[:-1]) - min(groups[:-1]) <= 2 and max(groups) <= 6) else -1
     else:
         abroad = digits[2:] if digits.startswith("00") else digits if span.startswith("+") else ""
-        known = 1 if abroad.startswith(CALLING) else 0
-        grouping = 1 if len(groups) in (3, 4, 5) and max(groups) <= 4 and groups[-1] >= 2 else -1
+        known = 1 if abroad.startswith(CALLING) else 0 if "(" in span else -1
+        dotted = _PART.sub("", span) == "..."  # as versions and addresses are written
+        grouping = 1 if len(groups) in (3, 4, 5) and max(groups) <= 4 and groups[-1] >= 2 and not dotted else -1
     return (1 if is_base else 0 if sound > 0 else -1, sound, known, context, -1 if cut else 1, grouping)
 
 
