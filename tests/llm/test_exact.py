@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 from frames import docs, odd
+from pyspark.sql import functions as F
 from textweave.llm.digest_index import DigestIndex, deduplicate, keep_first, text_digests
 from textweave.session import shared_path
 
@@ -59,3 +60,17 @@ def test_keep_first_keeps_columns_and_rows(spark):
     kept = keep_first(df, DigestIndex.create(spark))
     assert kept.columns == df.columns
     assert sorted(((r.doc_id is None, r.doc_id) for r in kept.collect())) == [(False, i) for i in (1, 3, 4, 6, 7, 8)] + [(True, None)]
+
+
+def test_keep_first_tells_rows_by_id_and_text(spark):
+    rows = [(1, "a b c d e"), (2, "a  b c d e"), (2, "quite another text"), (3, "x"), (3, "x"), (None, "only here"), (None, "only here"), (None, "x")]
+    kept = keep_first(docs(spark, rows), DigestIndex.create(spark)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == [(1, "a b c d e"), (2, "quite another text"), (3, "x"), (None, "only here")]
+
+
+def test_of_rows_given_twice_the_same_one_stays(spark):
+    rows = [(3, "x y", "b"), (3, "x  y", "a"), (3, "x\ty", "c"), (4, "y", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, extra string")
+    for given in (df, df.orderBy(F.desc("extra")), df.repartition(3)):
+        kept = keep_first(given, DigestIndex.create(spark)).collect()
+        assert sorted((r.doc_id, r.extra) for r in kept if r.doc_id == 3) == [(3, "a")] and len(kept) == 2

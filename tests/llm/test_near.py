@@ -70,3 +70,16 @@ def test_components_of_chains_stars_and_nothing(spark):
     found = {r.node: r.component for r in components(links).collect()}
     assert found == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(200)}}
     assert components(links.limit(0)).count() == 0
+
+
+def test_keep_one_tells_rows_by_id_and_text(spark):
+    rows = [(1, "a b c d e"), (2, "a b c d e"), (2, "quite another text of more words"), (2, "quite another text of more words"), (None, "x y z"), (None, "x y z"), (None, "a b c d e")]
+    kept = ball_hashing.keep_one(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == [(1, "a b c d e"), (2, "quite another text of more words"), (None, "x y z")]
+
+
+def test_large_component_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ball_hashing, "EMITTED", 200)
+    prints = [0] + [1 << b for b in range(40)]
+    marked = spark.createDataFrame([(100 - i, p) for i, p in enumerate(prints)], "id bigint, fingerprint bigint")
+    assert {r.component_id for r in ball_hashing._grouped(marked, 4, 2).collect()} == {60}

@@ -21,18 +21,24 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textweave.llm.components import components
-from textweave.llm.words import pieces
+from textweave.llm.tables import one_of_each
+from textweave.llm.words import pieces, unused
 from textweave.session import materialise
 
 BITS = 64
 #: Members of a block where a variant has more of them than two.
 BLOCK = 2_048
+#: Variants that a task emits, about.
+EMITTED = 1 << 20
+#: Parts that the members of a component are dealt to when they look up its smallest id.
+SALTS = 32
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -120,7 +126,10 @@ def links(prints: DataFrame, radius: int = 4, parts: int = 2) -> DataFrame:
 
     ``prints`` has one row for each fingerprint and is read twice.
     """
-    emitted = variants(prints, radius, parts)
+    # A task emits and pre-aggregates a bounded number of variants, however small the table of fingerprints is.
+    emits = parts * len(ball(BITS // parts, (radius // parts + 1) // 2))
+    tasks = max(1, -(-prints.count() * emits // EMITTED))
+    emitted = variants(prints.repartition(tasks, "fingerprint"), radius, parts)
     meeting = (
         emitted.groupBy("variant")
         .agg(F.count("*").alias("n"), F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b"))
@@ -161,15 +170,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, parts: int = 2, id_column:
     An empty table gives an empty result; other columns are not read.
     """
     marked = materialise(fingerprints(docs, id_column, text_column), "fingerprints")
-    prints = marked.groupBy("fingerprint").agg(F.min("id").alias("first"))
-    prints = materialise(prints, "distinct-fingerprints")
-    tied = components(links(prints.select("fingerprint"), radius, parts))
-    grouped = prints.join(tied.withColumnRenamed("node", "fingerprint").hint("merge"), "fingerprint", "left").select(
-        "fingerprint", "first", F.coalesce("component", "fingerprint").alias("component")
-    )
-    firsts = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = grouped.hint("merge").join(firsts, "component").select("fingerprint", "component_id")
-    return marked.join(named.hint("merge"), "fingerprint").select(
+    return _grouped(marked, radius, parts).select(
         F.col("id").alias(id_column),
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -177,7 +178,38 @@ def near_duplicates(docs: DataFrame, radius: int = 4, parts: int = 2, id_column:
     )
 
 
+def _grouped(marked: DataFrame, radius: int, parts: int) -> DataFrame:
+    """``(id, fingerprint, component_id)`` of every row of ``(id, fingerprint)``."""
+    prints = marked.groupBy("fingerprint").agg(F.min("id").alias("first"))
+    prints = materialise(prints, "distinct-fingerprints")
+    tied = materialise(components(links(prints.select("fingerprint"), radius, parts)), "components")
+    members = tied.withColumnRenamed("node", "fingerprint").hint("merge").join(prints, "fingerprint")
+    # A component may hold a third of all fingerprints: its members come in parts, its smallest id in copies.
+    salt = F.pmod(F.xxhash64("fingerprint"), F.lit(SALTS)).cast("int").alias("salt")
+    firsts = members.groupBy("component", salt).agg(F.min("first").alias("first")).groupBy("component").agg(F.min("first").alias("least"))
+    firsts = firsts.select("component", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = members.select("fingerprint", "component", salt).hint("merge").join(firsts, ["component", "salt"]).select("fingerprint", "least")
+    own = prints.join(named.hint("merge"), "fingerprint", "left")
+    own = own.select("fingerprint", F.coalesce("least", "first").alias("component_id"))
+    return marked.join(own.hint("merge"), "fingerprint").select("id", "fingerprint", "component_id")
+
+
 def keep_one(docs: DataFrame, radius: int = 4, parts: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their group, all columns as they are."""
-    dropped = near_duplicates(docs, radius, parts, id_column, text_column).filter(~F.col("kept")).select(id_column)
-    return docs.join(dropped.hint("merge"), id_column, "left_anti")
+    """The rows of ``docs`` that stand for their group, all columns as they are; one row of rows given twice.
+
+    A row is told by its id and its fingerprint, so one id may have several texts; near copies of
+    one text under the smallest id of their group, or all under null ids, stay together.
+    """
+    mark = unused(docs, "fingerprint")
+
+    def marked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield part.map(lambda text: simhash(text or b""))
+
+    simhashed = F.pandas_udf(marked, "bigint", F.PandasUDFType.SCALAR_ITER)
+    docs_marked = materialise(docs.withColumn(mark, simhashed(F.col(text_column).cast("binary"))), "marked")
+    rows = docs_marked.select(F.col(id_column).cast("bigint").alias("id"), F.col(mark).alias("fingerprint"))
+    verdicts = _grouped(rows, radius, parts).select(
+        F.col("id").alias(id_column), F.col("fingerprint").alias(mark), F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+    return one_of_each(docs_marked, [id_column, mark], verdicts).select(*docs.columns)

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textweave.llm.tables import one_of_each
+from textweave.llm.words import unused
 from textweave.session import materialise, shared_path
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -89,8 +91,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_column: str = "doc_id",
     batches, smaller ids first, as a corpus that grows does.
 
     Null texts count as empty, and empty texts are equal to each other. A row with a null id stays
-    only if no other row has its text; ``keep_id`` is then null. Rows with the same id and text are
-    one document given twice; both are kept if one is.
+    only if no row with an id has its text; ``keep_id`` is then null. Rows with the same id, null
+    too, and the same text are one document given twice; both are kept if one is.
     An empty table gives an empty result. Other columns of ``docs`` are not read.
     """
     digests = materialise(text_digests(docs, id_column, text_column), "digests")
@@ -112,8 +114,10 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_column: str = "doc_id",
 def keep_first(docs: DataFrame, index: DigestIndex, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are; one row of rows given twice.
 
-    Only ids are joined back; a row whose id is null stays.
+    A row is told by its id and its digest, so one id may have several texts. A null id is an id
+    like others here: such a row goes if a row with an id has its text.
     """
-    verdicts = deduplicate(docs, index, id_column, text_column)
-    dropped = verdicts.filter(~F.col("kept")).select(id_column).distinct()
-    return docs.join(dropped.hint("merge"), id_column, "left_anti").dropDuplicates([id_column, text_column])
+    digest = unused(docs, "digest")
+    verdicts = deduplicate(docs, index, id_column, text_column).select(id_column, F.unhex("text_sha256").alias(digest), "kept")
+    marked = docs.withColumn(digest, F.unhex(F.sha2(normalised(F.col(text_column)), 256)))
+    return one_of_each(marked, [id_column, digest], verdicts).select(*docs.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textweave.llm.words import hashed, mixed, pieces, word_hashes
+from textweave.llm.words import hashed, mixed, pieces, slices, word_hashes
 from textweave.session import materialise
 
 WORD = re.compile(r"\w+")
@@ -159,17 +159,21 @@ def scored(docs: DataFrame, weights: dict[int, float], bits: int, id_column: str
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, rejected_from: float = 0.5, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` with a score below ``rejected_from``, all columns as they are, in one pass."""
+    """The rows of ``docs`` with a score below ``rejected_from``, all columns as they are, in one pass.
+
+    Only the texts go to the workers; the other columns stay where they are.
+    """
     weights = fit(usable(labels), docs, settings)
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(weights, settings.bits)
-        for batch in batches:
-            for piece in pieces(batch):
-                scores = scorer.scores(piece.column(piece.schema.get_field_index("text")).to_pylist())
-                yield piece.filter(pa.array(scores < rejected_from))
+        for part in texts:
+            values = part.tolist()
+            sizes = [len(t or "") for t in values]
+            scores = [scorer.scores(values[i:j]) for i, j in slices(sizes)]
+            yield pd.Series(np.concatenate(scores) < rejected_from if scores else np.zeros(0, bool))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.filter(F.pandas_udf(clean, "boolean", F.PandasUDFType.SCALAR_ITER)("text"))
 
 
 def held_out(doc_id: Column) -> Column:
