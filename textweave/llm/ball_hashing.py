@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from textweave.llm.components import components
 from textweave.llm.tables import one_of_each
-from textweave.llm.words import pieces, unused
+from textweave.llm.words import array_pieces, pieces, unused
 from textweave.session import materialise
 
 BITS = 64
@@ -202,11 +201,11 @@ def keep_one(docs: DataFrame, radius: int = 4, parts: int = 2, id_column: str =
     """
     mark = unused(docs, "fingerprint")
 
-    def marked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def marked(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            yield part.map(lambda text: simhash(text or b""))
+            yield pa.array([simhash(text or b"") for piece in array_pieces(part) for text in piece.to_pylist()], pa.int64())
 
-    simhashed = F.pandas_udf(marked, "bigint", F.PandasUDFType.SCALAR_ITER)
+    simhashed = F.arrow_udf(marked, "bigint")
     docs_marked = materialise(docs.withColumn(mark, simhashed(F.col(text_column).cast("binary"))), "marked")
     rows = docs_marked.select(F.col(id_column).cast("bigint").alias("id"), F.col(mark).alias("fingerprint"))
     verdicts = _grouped(rows, radius, parts).select(

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textweave.llm.words import hashed, mixed, pieces, slices, word_hashes
+from textweave.llm.words import array_pieces, hashed, mixed, pieces, word_hashes
 from textweave.session import materialise
 
 WORD = re.compile(r"\w+")
@@ -165,15 +165,13 @@ def keep_clean(docs: DataFrame, labels: DataFrame, rejected_from: float = 0.5, s
     """
     weights = fit(usable(labels), docs, settings)
 
-    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(weights, settings.bits)
         for part in texts:
-            values = part.tolist()
-            sizes = [len(t or "") for t in values]
-            scores = [scorer.scores(values[i:j]) for i, j in slices(sizes)]
-            yield pd.Series(np.concatenate(scores) < rejected_from if scores else np.zeros(0, bool))
+            scores = [scorer.scores(piece.to_pylist()) for piece in array_pieces(part)]
+            yield pa.array(np.concatenate([np.zeros(0), *scores]) < rejected_from)
 
-    return docs.filter(F.pandas_udf(clean, "boolean", F.PandasUDFType.SCALAR_ITER)("text"))
+    return docs.filter(F.arrow_udf(clean, "boolean")("text"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -91,6 +91,12 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def array_pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """An array of texts in slices of a bounded size."""
+    for start, end in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        yield texts.slice(start, end - start)
+
+
 def pieces(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts have a bounded size."""
     column = batch.column(batch.schema.get_field_index(text))
