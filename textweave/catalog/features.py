@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from textweave.catalog.common import SQL_TOKENS, load, rounded, tokens
 from textweave.functions.text import exploded
 from textweave.operators import features as ft
-from textweave.plans import similarity
+from textweave.plans import similarity, threshold
 from textweave.plans.similarity import cosine_pairs, token_weights
 
 PRICES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -50,6 +50,26 @@ def tfidf_cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return cosine_pairs(weights, pairs, "doc_id").select("id1", "id2", rounded("cosine"))
 
 
+def similar_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of different token vectors with a cosine of 0.7 or more."""
+    weights = token_weights(tokens(spark, sf), "doc_id", "tokens")
+    return threshold.similar_records(weights, "doc_id", 0.7).pairs.select("id1", "id2", rounded("cosine"))
+
+
+def similar_document_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The document that stands for all with the same tokens, as often."""
+    weights = token_weights(tokens(spark, sf), "doc_id", "tokens")
+    return threshold.vector_classes(weights.filter("weight <> 0"), "doc_id")
+
+
+def similar_new_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of one source against those of all others, without a column to block on."""
+    weights = token_weights(tokens(spark, sf), "doc_id", "tokens")
+    source = load(spark, sf, "documents").select("doc_id", (F.col("source") == "src1").alias("new"))
+    known, new = source.filter("not new"), source.filter("new")
+    return threshold.similar_to_known(weights, known, new, "doc_id", 0.5).pairs.select("id1", "id2", rounded("cosine"))
+
+
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return ft.vocabulary(tokens(spark, sf)).withColumn("index", F.col("index").cast("bigint"))
 
@@ -155,6 +175,9 @@ QUERIES = {
     "tfidf_tokens": tfidf_tokens,
     "tfidf_norms": tfidf_norms,
     "tfidf_cosine_pairs": tfidf_cosine_pairs,
+    "similar_documents": similar_documents,
+    "similar_document_classes": similar_document_classes,
+    "similar_new_documents": similar_new_documents,
     "vocabulary": vocabulary,
     "count_vectors": count_vectors,
     "count_tfidf": count_tfidf,
@@ -178,6 +201,17 @@ _WEIGHTS = f"""
                        tf * ln(((select count(*) from documents) + 1.0::double) / (df + 1)) as weight
                 from tf join df using (token))"""
 
+_CLASSES = """
+    used as (select * from weights where weight <> 0),
+    vectors as (select doc_id, list((token, tf) order by token) as vector from used group by doc_id),
+    classes as (select doc_id, min(doc_id) over (partition by vector) as class_id from vectors)"""
+
+_COSINES = """
+    norms as (select doc_id, sqrt(sum(weight * weight)) as norm from used group by doc_id),
+    cosines as (select a.doc_id as id1, b.doc_id as id2, sum(a.weight * b.weight) / any_value(x.norm) / any_value(y.norm) as cosine
+                from used a join used b on b.token = a.token and b.doc_id <> a.doc_id
+                join norms x on x.doc_id = a.doc_id join norms y on y.doc_id = b.doc_id group by 1, 2)"""
+
 _INDEX = """
     ranks as (select o_orderpriority, row_number() over (order by count(*) desc, o_orderpriority) - 1 as i
               from orders group by o_orderpriority)"""
@@ -203,6 +237,18 @@ ORACLES = {
         select id1, id2, round(coalesce(dot, 0) / nullif(x.norm * y.norm, 0), 6) as cosine
         from pairs left join dots using (id1, id2)
         left join norms x on x.doc_id = id1 left join norms y on y.doc_id = id2""",
+    "similar_documents": f"""
+        with {_WEIGHTS}, {_CLASSES}, {_COSINES}
+        select id1, id2, round(cosine, 6) as cosine from cosines
+        join classes c on c.doc_id = id1 and c.class_id = id1 join classes d on d.doc_id = id2 and d.class_id = id2
+        where id1 < id2 and cosine >= 0.7""",
+    "similar_document_classes": f"with {_WEIGHTS}, {_CLASSES} select doc_id, class_id from classes",
+    "similar_new_documents": f"""
+        with {_WEIGHTS}, {_CLASSES}, {_COSINES},
+        new as (select distinct class_id as id1 from classes join documents using (doc_id) where source = 'src1'),
+        known as (select distinct class_id as id2 from classes join documents using (doc_id) where source <> 'src1')
+        select id1, id2, round(cosine, 6) as cosine from cosines join new using (id1) join known using (id2) where cosine >= 0.5
+        union all select id1, id2, 1.0::double from new join known on id1 = id2""",
     "vocabulary": f"""
         select row_number() over (order by count(*) desc, term) - 1 as index, term, count(*) as count
         from (select unnest({SQL_TOKENS}) as term from documents) group by term order by index limit 262144""",

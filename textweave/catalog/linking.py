@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from textweave.catalog.common import SQL_REPORTS, SQL_TOKENS, load, reports, rounded
 from textweave.functions import distance, text
 from textweave.functions import reports as rp
-from textweave.plans import linkage, overlap, similarity
+from textweave.plans import linkage, overlap, similarity, splits
 from textweave.session import materialise
 from textweave.sources.tables import associations
 
@@ -123,6 +123,13 @@ def list_similarity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def leakless_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders and parts tied by full line items, every component in one of two parts."""
+    items = load(spark, sf, "lineitem").filter("l_quantity = 50")
+    ties = items.select(F.concat(F.lit("O"), "l_orderkey").alias("id1"), F.concat(F.lit("P"), "l_partkey").alias("id2"))
+    return splits.component_parts(ties, (0.8, 0.2), "id1", "id2")
+
+
 def additive_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """Part names of neighbouring orders; words are as similar as often they name a part together."""
     parts = load(spark, sf, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
@@ -168,6 +175,7 @@ QUERIES = {
     "unmatched_pairs": unmatched_pairs,
     "list_similarity": list_similarity,
     "additive_similarity": additive_similarity,
+    "leakless_split": leakless_split,
     "linkage_scores": linkage_scores,
 }
 
@@ -302,6 +310,15 @@ ORACLES = {
                then round(coalesce(s, 0)::double / ((len(a.t) + 1) * (len(b.t) + 1)), 9) end as similarity
         from turns a join turns b on b.conv_id = a.conv_id and b.turn = a.turn + 1
         left join equal e on e.conv_id = a.conv_id and e.turn = a.turn""",
+    "leakless_split": """
+        with recursive pairs as (select 'O' || l_orderkey as id1, 'P' || l_partkey as id2 from lineitem where l_quantity = 50),
+        ties as (select id1 as a, id2 as b from pairs union select id2, id1 from pairs),
+        reached(id, other) as (select a, a from ties union select id, b from reached join ties on other = a),
+        named as (select id, min(other) as component from reached group by id),
+        sizes as (select component, count(*) as n from pairs join named on id = id1 group by component),
+        laid as (select component, n, sum(n) over (order by md5(component || '|12345'), component) as upto from sizes)
+        select id, component, case when 2 * upto - n >= 1.6::double * (select count(*) from pairs) then 1 else 0 end as part
+        from named join laid using (component)""",
     "additive_similarity": """
         with together as (select string_split(p_name, ' ')[1] as a, string_split(p_name, ' ')[2] as b, count(*) as n
                           from part group by 1, 2),
