@@ -4,7 +4,9 @@ For every node of the page: characters and tags below it, and those of them in l
 composite density is characters per tag, adjusted for links; the density sum of a node adds up
 the densities of its children. The node with the largest sum is the heart of the article; the
 least density on its path to the body is the threshold that other parts have to reach to belong
-to the article too.
+to the article too. Formatting inside a line (``b``, ``span``, ...) is no tag of its own in these
+counts. Tags and names are evidence beside the densities: inside the ``article`` or ``main`` element
+that holds the heart a part needs a density above zero only, and a heading belongs to the part after it.
 
 Sun, Song, Liao, "DOM based content extraction via text density" (2011). Parts that are never
 article text (menus, forms, scripts, ...) leave the page first, and parts whose names say so
@@ -30,6 +32,9 @@ INLINE = {
     "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt",
     "u", "var", "wbr", "img",
 }
+#: Inline elements that only format a line; they are not counted as tags.
+FORMATS = INLINE - {"a", "img", "label"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that end an open paragraph.
 CLOSES_P = {
     "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form",
@@ -71,10 +76,11 @@ NEVER, NAMED = 2, 1
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "breaks", "mark")
+    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "breaks", "mark", "depth")
 
     def __init__(self, tag: str, parent: Node | None, mark: int = 0) -> None:
         self.tag, self.parent, self.mark = tag, parent, mark
+        self.depth = parent.depth + 1 if parent else 0
         self.breaks = 0
         #: Child nodes and texts in page order.
         self.items: list[Node | str] = []
@@ -101,23 +107,28 @@ def _mark(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -
 
 
 class Page(HTMLParser):
-    """The tree of a page, parts that are no article text marked. Broken markup is taken as it comes."""
+    """The tree of a page, parts that are no article text marked. Broken markup is taken as it comes.
+
+    The open elements are kept by name, so an end tag looks at no other elements than those it ends.
+    """
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", None)
         self.body: Node | None = None
         self.articles = 0
+        self.open: dict[str, list[Node]] = {}
+        self.open_marked: list[Node] = []
+        self.open_marked_blocks: list[Node] = []
         self.feed(html)
         self.close()
 
     def _outermost_marked(self) -> Node | None:
-        found, node = None, self.at
-        while node is not None:
-            if node.mark:
-                found = node
-            node = node.parent
-        return found
+        return self.open_marked[0] if self.open_marked else None
+
+    def _innermost(self, tags: set[str]) -> Node | None:
+        found = [self.open[t][-1] for t in tags if self.open.get(t)]
+        return max(found, key=lambda n: n.depth, default=None)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.at.tag == "head" and tag not in IN_HEAD:
@@ -137,6 +148,11 @@ class Page(HTMLParser):
         node = Node(tag, self.at, _mark(tag, attrs, self.articles > 0))
         self.at.items.append(node)
         self.at = node
+        self.open.setdefault(tag, []).append(node)
+        if node.mark:
+            self.open_marked.append(node)
+            if tag not in INLINE:
+                self.open_marked_blocks.append(node)
         self.articles += tag in ("article", "main")
         if tag == "body":
             self.body = node
@@ -158,20 +174,26 @@ class Page(HTMLParser):
         self._end({tag}, {"article", "section"} - {tag} if small else set(), small)
 
     def _end(self, tags: set[str], up_to: set[str], within_marked: bool = False) -> bool:
-        node = self.at
-        while node.parent is not None and node.tag not in tags:
-            if node.tag in up_to or within_marked and node.mark and node.tag not in INLINE:
-                return False
-            node = node.parent
-        if node.parent is None:
+        """End the innermost open element of these names, unless one that bounds it is further inside."""
+        node = self._innermost(tags)
+        if node is None:
+            return False
+        bound = self._innermost(up_to)
+        if bound is not None and bound.depth > node.depth:
+            return False
+        if within_marked and self.open_marked_blocks and self.open_marked_blocks[-1].depth > node.depth:
             return False
         self._leave(node)
         return True
 
     def _leave(self, node: Node) -> None:
         while self.at is not node.parent:
-            self.articles -= self.at.tag in ("article", "main")
-            self.at = self.at.parent
+            left, self.at = self.at, self.at.parent
+            self.open[left.tag].pop()
+            for waiting in (self.open_marked, self.open_marked_blocks):
+                if waiting and waiting[-1] is left:
+                    waiting.pop()
+            self.articles -= left.tag in ("article", "main")
 
     def handle_data(self, data: str) -> None:
         self.at.items.append(data)
@@ -260,7 +282,7 @@ def measure(body: Node) -> list[Node]:
         if node is not body:
             up = node.parent
             up.chars += node.chars
-            up.tags += node.tags + 1
+            up.tags += node.tags + (node.tag not in FORMATS)
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags
     share = body.link_chars / max(body.chars, 1)
@@ -274,35 +296,87 @@ def measure(body: Node) -> list[Node]:
     return nodes
 
 
-def chosen_parts(body: Node) -> list[Node]:
-    """The subtrees that make up the article, in page order."""
+def blocks(node: Node) -> list[Node | list[Node | str]]:
+    """What a node holds, in page order: its block elements, and between them lists of loose text and inline elements."""
+    found: list[Node | list[Node | str]] = []
+    for item in node.items:
+        if type(item) is Node and item.tag not in INLINE:
+            found.append(item)
+        elif found and type(found[-1]) is list:
+            found[-1].append(item)
+        else:
+            found.append([item])
+    return found
+
+
+def as_node(run: list[Node | str]) -> Node:
+    """Loose text counted as if it were one block."""
+    block = Node("#text", None)
+    nodes = [item for item in run if type(item) is Node]
+    block.link_chars, block.link_tags = sum(n.link_chars for n in nodes), sum(n.link_tags for n in nodes)
+    block.chars = sum(len("".join(item.split())) for item in run if type(item) is str) + sum(n.chars for n in nodes)
+    block.tags = sum(n.tags + (n.tag not in FORMATS) for n in nodes)
+    return block
+
+
+def chosen_parts(body: Node) -> list[Node | list[Node | str]]:
+    """The subtrees, and the loose texts between them, that make up the article, in page order.
+
+    Beside the heart stands what reaches the threshold of its path. Inside the innermost ``article`` or
+    ``main`` on that path anything counts that is not all links. A heading belongs to the part directly
+    after it, and so does loose text between a heading or a part and a part.
+    """
     nodes = measure(body)
     heart = max(nodes, key=lambda n: n.total)
     if heart.chars == 0:
         return []
-    path = [heart]
-    while path[-1] is not body:
-        path.append(path[-1].parent)
-    named = [n for n in path if n.tag in ("article", "main")]
-    if named:  # the page says itself where its article begins and ends
-        return [named[-1]]
+    while heart.tag in INLINE and heart is not body:
+        heart = heart.parent
+    path = _path(heart, body)
+    on_path = set(path)
     threshold = min(n.density for n in path)
+    named = next((n for n in path if n.tag in ("article", "main")), None)
+    within = set(path[: path.index(named) + 1]) if named else set()
+    share = body.link_chars / max(body.chars, 1)
+
+    def chosen(node: Node) -> list[Node | list[Node | str]]:
+        """The parts of what a node of the path holds."""
+        least = 0.0 if node in within else threshold
+        held = []
+        for part in blocks(node):
+            counts = part if type(part) is Node else as_node(part)
+            if counts.chars > counts.link_chars:  # blanks and pure links never belong
+                density = composite_density(counts.chars, counts.tags, counts.link_chars, counts.link_tags, share)
+                held.append([part, counts in on_path or density >= least])
+        for at in range(len(held) - 2, -1, -1):
+            part, belongs = held[at]
+            if belongs or not held[at + 1][1]:
+                continue
+            before = held[at - 1] if at else None
+            if type(part) is Node:
+                held[at][1] = part.tag in HEADINGS
+            elif before is not None:
+                held[at][1] = before[1] or type(before[0]) is Node and before[0].tag in HEADINGS
+        return [h[0] for h in held if h[1]]
+
     parts, waiting = [], [body]
     while waiting:
-        node = waiting.pop()
-        if node is heart:
-            parts.append(node)
-        elif node in path:
-            waiting += [item for item in reversed(node.items) if type(item) is Node]
-        elif node.density >= threshold and node.total > 0:
-            parts.append(max(_in_order(node), key=lambda n: n.total))
+        part = waiting.pop()
+        if part is heart or type(part) is list:
+            parts.append(part)
+        elif part in on_path:
+            waiting += reversed(chosen(part))
+        elif part.parent in within or part.tag in HEADINGS:
+            parts.append(part)
+        else:
+            parts.append(max(_in_order(part), key=lambda n: n.total))
     return parts
 
 
-def block_text(part: Node) -> str:
-    """The text of a subtree, with a space wherever a block begins or ends."""
+def block_text(part: Node | list[Node | str]) -> str:
+    """The text of a subtree or of loose text, with a space wherever a block begins or ends."""
     out: list[str] = []
-    waiting: list[Node | str] = [part]
+    waiting: list[Node | str] = list(reversed(part)) if type(part) is list else [part]
     while waiting:
         item = waiting.pop()
         if type(item) is str:
