@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from textweave.catalog.common import SQL_TOKENS, load, rounded, tokens
 from textweave.functions.text import exploded
 from textweave.operators import features as ft
-from textweave.plans import similarity, threshold
+from textweave.plans import factors, frequent, similarity, threshold
 from textweave.plans.similarity import cosine_pairs, token_weights
 
 PRICES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -169,7 +169,37 @@ def principal_components(spark: SparkSession, sf: str) -> DataFrame:
     return ft.reduce_dimensions(points, 3).table.select("vec_id", *[F.round(F.abs(v[i]), 4).alias(f"x{i}") for i in range(3)])
 
 
+def word_associations(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that stand within two places of each other oftener than by chance."""
+    counts = factors.cooccurrences(tokens(spark, sf), "tokens", window=2, min_count=20)
+    return factors.positive_information(counts).select("word", "context", "n", rounded("weight"))
+
+
+def association_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of the words from their associations, without a vocabulary in one place: lengths, as signs are free."""
+    counts = factors.cooccurrences(tokens(spark, sf), "tokens", window=2, min_count=20)
+    vectors = factors.word_vectors(factors.positive_information(counts), 10, iterations=3)
+    square = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v)
+    return vectors.select("word", F.round(F.sqrt(square), 3).alias("length"))
+
+
+def sparse_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Principal components of the texts by their tokens, one column for each token: places on the first three."""
+    counts = exploded(tokens(spark, sf), "tokens", "token", "doc_id").groupBy("doc_id", "token").agg(F.log1p(F.count("*")).alias("value"))
+    found = factors.principal_components(counts.withColumnsRenamed({"doc_id": "row", "token": "column"}), 3, iterations=3)
+    return found.scores.select(F.col("row").alias("doc_id"), *[F.round(F.abs(F.col("x")[i]), 3).alias(f"x{i}") for i in range(3)])
+
+
+def frequent_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The hundred most frequent tokens, counted without a shuffle of all of them."""
+    return frequent.most_frequent(exploded(tokens(spark, sf), "tokens", "token"), "token", 100)
+
+
 QUERIES = {
+    "word_associations": word_associations,
+    "association_vectors": association_vectors,
+    "sparse_components": sparse_components,
+    "frequent_tokens": frequent_tokens,
     "hashed_terms": hashed_terms,
     "hashed_tfidf": hashed_tfidf,
     "tfidf_tokens": tfidf_tokens,
@@ -222,6 +252,27 @@ def _sql_scaled(expression: str) -> str:
 
 
 ORACLES = {
+    "word_associations": f"""
+with words as (select {SQL_TOKENS} as w from documents),
+often as (select word from (select unnest(w) as word from words) group by word having count(*) >= 20),
+pairs as (
+  select a, b, count(*) as n
+  from (select unnest(list_zip(w[1:len(w) - d], w[d + 1:len(w)])) as p, p[1] as a, p[2] as b
+        from words, (select unnest([1, 2]) as d) where len(w) > d)
+  where a in (select word from often) and b in (select word from often) group by a, b),
+counts as (
+  select word, context, sum(n)::bigint as n
+  from (select a as word, b as context, n from pairs union all select b, a, n from pairs) group by 1, 2),
+margins as (select word, sum(n) as n_word from counts group by word)
+select c.word, c.context, n, round(ln(ratio), 6) as weight
+from (select c.*, (n / x.n_word::double) * ((select sum(n) from counts)::double / y.n_word::double) as ratio
+      from counts c join margins x on x.word = c.word join margins y on y.word = c.context) c
+where ratio > 1
+""",
+    "frequent_tokens": f"""
+select token as item, count(*) as n from (select unnest({SQL_TOKENS}) as token from documents)
+group by token order by n desc, item limit 100
+""",
     "hashed_terms": f"select doc_id, len({SQL_TOKENS}) as n_tokens from documents",
     "tfidf_tokens": f"with {_WEIGHTS} select doc_id, token, tf, round(weight, 6) as weight from weights",
     "tfidf_norms": f"""
