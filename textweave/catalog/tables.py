@@ -10,6 +10,7 @@ from textweave.operators import features as ft
 from textweave.operators import grouping, relational, roles, sampling
 from textweave.session import shared_path
 from textweave.sources import files, sinks, tables
+from textweave.sources.arff import ArffSource
 
 
 def read_parquet(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,6 +25,16 @@ def tsv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return back.withColumns({c: F.col(c).cast("bigint") for c in ("o_orderkey", "o_custkey")})
 
 
+def arff_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents through ARFF files and back, texts with all their lines and quotes."""
+    spark.dataSource.register(ArffSource)
+    path = shared_path(spark, "documents-arff")
+    docs = load(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")
+    docs.write.format("arff").mode("append").save(path)
+    back = spark.read.format("arff").load(path)
+    return back.withColumns({c: F.col(c).cast("bigint") for c in ("doc_id", "n_chars")})
+
+
 def row_ids(spark: SparkSession, sf: str) -> DataFrame:
     lines = load(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n_lines"))
     return files.with_id(lines, "row_id", ["l_partkey", "l_suppkey"])
@@ -234,6 +245,7 @@ def user_function(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "read_parquet": read_parquet,
     "tsv_round_trip": tsv_round_trip,
+    "arff_round_trip": arff_round_trip,
     "row_ids": row_ids,
     "row_ids_unstable": row_ids_unstable,
     "sql_table": sql_table,
@@ -275,6 +287,7 @@ _LABELLED = "documents left join labels using (doc_id)"
 ORACLES = {
     "read_parquet": "select s_suppkey, s_name, s_nationkey, s_acctbal from supplier",
     "tsv_round_trip": "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders",
+    "arff_round_trip": "select doc_id, text, lang, n_chars from documents",
     "row_ids": """
         select l_partkey, l_suppkey, count(*) as n_lines, row_number() over (order by l_partkey, l_suppkey) - 1 as row_id
         from lineitem group by l_partkey, l_suppkey""",
