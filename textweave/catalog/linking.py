@@ -77,6 +77,15 @@ def negative_pairs_of_groups(spark: SparkSession, sf: str) -> DataFrame:
     return each.select("group", F.col("crime_id1").alias("crime_id"), "n_pairs")
 
 
+def negative_pairs_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """Every unlinked pair of the default number: for each group a digest of its pairs without order."""
+    pairs = linkage.negative_pairs(_groups(spark, sf))
+    number = linkage.drawn(0, "crime_id1", "crime_id2")
+    return pairs.groupBy("group").agg(
+        F.count("*").alias("n_pairs"), F.sum("weight").alias("weight"), F.max("class").alias("class"), F.sum(number).alias("digest")
+    )
+
+
 def _known_and_new(spark: SparkSession, sf: str, *extra: str) -> tuple[DataFrame, DataFrame]:
     """Reports of the last year against all earlier ones."""
     features = linkage.report_features(reports(spark, sf), keep=["occurrence_year", *extra])
@@ -168,6 +177,7 @@ QUERIES = {
     "positive_pairs": positive_pairs,
     "negative_pairs": negative_pairs,
     "negative_pairs_of_groups": negative_pairs_of_groups,
+    "negative_pairs_digest": negative_pairs_digest,
     "test_pairs": test_pairs,
     "block_sizes": block_sizes,
     "pair_features": pair_features,
@@ -254,6 +264,11 @@ _GROUPS = """
                  from edges a join edges b using (person_id) where a.crime_id <> b.crime_id group by 1, 2),
     groups as (select "group", c1 as crime_id, count(*) as partners from met group by 1, 2)"""
 
+
+def _sql_drawn(seed: int, *columns: str) -> str:
+    return f"cast('0x' || left(md5(concat_ws('|', '{seed}', {', '.join(columns)})), 12) as bigint)"
+
+
 ORACLES = {
     "report_features": f"with {_FEATURES} select crime_id, {_COLUMNS} from features",
     "report_details": f"""
@@ -283,6 +298,22 @@ ORACLES = {
         with {_GROUPS.format("")}, sizes as (select count(*) as n from groups group by "group"),
         k as (select least(cast(ceil(sum(n * (n - 1) / 2) / count(*)) as bigint), count(*) - 1) as n_pairs from sizes)
         select "group", crime_id, n_pairs from groups, k where n_pairs > 0""",
+    "negative_pairs_digest": f"""
+        with {_GROUPS.format("")},
+        sizes as (select "group", count(*) as size, {_sql_drawn(1, '"group"')} as g from groups group by "group"),
+        facts as (select count(*) as total, least(cast(ceil(sum(size * (size - 1) / 2) / count(*)) as bigint), count(*) - 1) as k from sizes),
+        numbers as materialized (select "group", size, row_number() over (order by g, "group") - 1 as number from sizes),
+        members as materialized (select "group", crime_id, number, size, row_number() over (partition by "group"
+                    order by {_sql_drawn(1, "crime_id")}, crime_id) - 1 as place from groups join numbers using ("group")),
+        targets as (select "group", crime_id, total, number, {_sql_drawn(1, "crime_id", '"group"')} % (total - 1) as start,
+                    unnest(range(k)) as i from members, facts where k > 0),
+        picks as (select "group", crime_id, (number + 1 + (start + i) % (total - 1)) % total as number,
+                  {_sql_drawn(2, "crime_id", '"group"', "cast(i as varchar)")} as draw from targets),
+        placed as materialized (select p."group", crime_id, p.number, draw % size as place from picks p join numbers n on n.number = p.number)
+        select p."group", count(*) as n_pairs, cast(count(*) as double) as weight, cast(0 as integer) as "class",
+               cast(sum({_sql_drawn(0, "p.crime_id", "m.crime_id")}) as bigint) as digest
+        from placed p join members m on m.number = p.number and m.place = p.place
+        group by p."group\"""",
     "test_pairs": f"""
         with {_BLOCKED} select x.crime_id as crime_id1, y.crime_id as crime_id2, 1.0::double as weight, cast(1 as integer) as "class"
         from new x join known y using (place)""",

@@ -99,12 +99,12 @@ _LISTED = f"""
 _VECTORS = f"""
     normal as (select crime_id, list_filter({texts._FUSED}, lambda w: w <> '' and not list_contains([{_quoted(texts.STOP_WORDS)}], w)) as t
                from (select crime_id, narrative as text from reports)),
-    terms1 as (select crime_id, w, count(*) as n from (select crime_id, unnest(t) as w from normal) group by 1, 2),
-    terms2 as (select crime_id, w, count(*) as n from (select crime_id,
+    terms1 as materialized (select crime_id, w, count(*) as n from (select crime_id, unnest(t) as w from normal) group by 1, 2),
+    terms2 as materialized (select crime_id, w, count(*) as n from (select crime_id,
                unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) as w from normal) group by 1, 2),""" + ",".join(
     f"""
     idf{k} as (select w, ln(((select count(*) from reports) + 1) / (count(*) + 1)::double) as i from terms{k} group by w),
-    weights{k} as (select crime_id, w, n * i as v from terms{k} join idf{k} using (w)),
+    weights{k} as materialized (select crime_id, w, n * i as v from terms{k} join idf{k} using (w)),
     norms{k} as (select crime_id, count(*) as n_terms, sqrt(sum(v * v)) as norm from weights{k} group by crime_id)"""
     for k in (1, 2)
 )
@@ -114,7 +114,7 @@ _WHOLE = linking._FEATURES.replace(f"reports as ({SQL_REPORTS})", _LISTED) + f""
     property as (select crime_id, case when p_name is null then []::varchar[] else list_filter(string_split(lower(p_name), ' '),
                  lambda w: length(w) >= 3 and not list_contains([{_quoted(NOT_PROPERTY)}], w)) end as listed
                  from plain left join stolen using (crime_id)),
-    whole as (select features.*, listed, a.norm as norm1, b.norm as norm2, a.n_terms as terms1, b.n_terms as terms2
+    whole as materialized (select features.*, listed, a.norm as norm1, b.norm as norm2, a.n_terms as terms1, b.n_terms as terms2
               from features join property using (crime_id) left join norms1 a using (crime_id) left join norms2 b using (crime_id))"""
 
 _ABOVE = {
@@ -128,19 +128,23 @@ _TWELVE = [*linking._NINE, *_ABOVE]
 
 def _sql_raw(name: str, first: int, end: int) -> str:
     """The distances of all pairs of a block, by the years of their reports."""
-    sides = f"whole x join whole y on x.place = y.place and x.occurrence_year >= {first} and x.occurrence_year < {end} and y.occurrence_year < {first}"
     dots = ",".join(
         f"""
-    {name}_dot{k} as (select x.crime_id as c1, y.crime_id as c2, sum(a.v * b.v) as s from {sides}
-              join weights{k} a on a.crime_id = x.crime_id join weights{k} b on b.crime_id = y.crime_id and b.w = a.w group by 1, 2)"""
+    {name}_side{k} as materialized (select c1, c2, w, v from {name}_ids join weights{k} on crime_id = c1),
+    {name}_dot{k} as (select c1, c2, sum(a.v * b.v) as s from {name}_side{k} a
+              join weights{k} b on b.crime_id = c2 and b.w = a.w group by 1, 2)"""
         for k in (1, 2)
     )
     above = ", ".join(f'{sql} as "{c}"' for c, sql in _ABOVE.items())
     nine = linking._RAW[linking._RAW.index("raw as (select ") + len("raw as (select "):linking._RAW.index("1.0::double as weight")]
-    return f"""{dots},
-    {name} as (select {nine} {above}, 1.0::double as weight, cast(1 as integer) as "class", x.crime_id || '+' || y.crime_id as crime_pair
-        from {sides} left join {name}_dot1 d1 on d1.c1 = x.crime_id and d1.c2 = y.crime_id
-        left join {name}_dot2 d2 on d2.c1 = x.crime_id and d2.c2 = y.crime_id)"""
+    return f"""
+    {name}_ids as materialized (select x.crime_id as c1, y.crime_id as c2 from features x join features y using (place)
+        where x.occurrence_year >= {first} and x.occurrence_year < {end} and y.occurrence_year < {first}),{dots},
+    {name} as materialized (select {nine} {above}, 1.0::double as weight, cast(1 as integer) as "class",
+        x.crime_id || '+' || y.crime_id as crime_pair
+        from {name}_ids i join whole x on x.crime_id = i.c1 join whole y on y.crime_id = i.c2
+        left join {name}_dot1 d1 on d1.c1 = i.c1 and d1.c2 = i.c2
+        left join {name}_dot2 d2 on d2.c1 = i.c1 and d2.c2 = i.c2)"""
 
 
 def _sql_scaled(i: int, name: str) -> str:

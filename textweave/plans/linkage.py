@@ -102,6 +102,11 @@ def positive_pairs(groups: DataFrame, cell_pairs: int = CELL_PAIRS) -> DataFrame
     return pairs.select("crime_id1", "crime_id2", "group", (1 / F.col("size")).alias("weight"), F.lit(1).alias("class"))
 
 
+def drawn(seed: int, *columns: str | Column) -> Column:
+    """A number below 2^48 from the first digits of the MD5 of seed and columns."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *columns)), 1, 12), 16, 10).cast("bigint")
+
+
 def negatives_per_member(groups: DataFrame, select_ratio: int = 1) -> int:
     """Unlinked pairs for each record: ``n_select`` of ``group_statistics``."""
     return int(group_statistics(groups, select_ratio).first()["n_select"] or 0)
@@ -115,14 +120,14 @@ def negative_pairs(
     Each member of a group is paired with one member of k other groups. Groups stand
     in hashed order and the k follow each other in it from a hashed start, so they are
     distinct and never the member's own; the same seed gives the same pairs for any
-    partitioning. If there are not k other groups, all of them are taken. A record in
+    partitioning. All draws are digits of MD5, so that other engines can repeat them. If there are not k other groups, all of them are taken. A record in
     several groups may be paired with itself or with a record it is linked to through
     another group, labelled 0 all the same, unless ``exclude_linked``; the training
     default keeps such pairs.
     """
     k = negatives_per_member(groups, select_ratio) if per_member is None else per_member
-    shuffled = groups.select("group", "crime_id", F.xxhash64("group", F.lit(seed)).alias("_g"))
-    order = [F.col("_g"), F.col("group"), F.xxhash64("crime_id", F.lit(seed)), F.col("crime_id")]
+    shuffled = groups.select("group", "crime_id", drawn(seed, "group").alias("_g"))
+    order = [F.col("_g"), F.col("group"), drawn(seed, "crime_id"), F.col("crime_id")]
     members = materialise(numbered(shuffled, order, "row").drop("_g"), "members")
     starts = members.groupBy("group").agg(F.min("row").alias("start"), F.count("*").alias("size"))
     numbers = materialise(numbered(starts, [F.col("start")], "number").withColumn("number", F.col("number") - 1), "numbers")
@@ -133,9 +138,9 @@ def negative_pairs(
             F.col("crime_id").alias("crime_id1"), F.col("crime_id").alias("crime_id2"), "group",
             F.lit(1.0).alias("weight"), F.lit(0).alias("class"),
         )
-    start = F.pmod(F.xxhash64("crime_id", "group", F.lit(seed)), F.lit(total - 1))
+    start = F.pmod(drawn(seed, "crime_id", "group"), F.lit(total - 1))
     shift = F.pmod(start + F.col("i"), F.lit(total - 1))
-    draw = F.xxhash64("crime_id", "group", "i", F.lit(seed + 1))
+    draw = drawn(seed + 1, "crime_id", "group", F.col("i").cast("string"))
     targets = (
         members.join(numbers.select("group", "number"), "group")
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
