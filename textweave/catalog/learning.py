@@ -166,6 +166,16 @@ def areas(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.areas_under_curves(_scored_lines(spark, sf)).select(rounded("area_under_roc"), rounded("area_under_pr"))
 
 
+def merged_areas(spark: SparkSession, sf: str) -> DataFrame:
+    """States of seven batches of lines, merged: the area, how far it may be off, and that it is not further off."""
+    lines = _scored_lines(spark, sf)
+    batches = [evaluate.score_state(lines.where(F.col("l_linenumber") == n), bits=8) for n in range(1, 8)]
+    found = evaluate.area_of_state(evaluate.merge_score_states(*batches))
+    exact = evaluate.areas_under_curves(lines).select("area_under_roc").scalar()
+    within = (F.abs(F.col("area_under_roc") - exact) <= F.col("error") + 1e-12).alias("within")
+    return found.select(rounded("area_under_roc", 9), rounded("error", 9), within)
+
+
 def precision_at_10(spark: SparkSession, sf: str) -> DataFrame:
     lines = _scored_lines(spark, sf).withColumn("item", F.struct("l_orderkey", "l_linenumber", "class"))
     found = evaluate.precision_at(lines, "l_partkey", "score", "class", "item", 10)
@@ -201,6 +211,7 @@ QUERIES = {
     "roc_points_weighted": roc_points_weighted,
     "f_measures": f_measures,
     "areas": areas,
+    "merged_areas": merged_areas,
     "precision_at_10": precision_at_10,
     "average_precision": average_precision,
 }
@@ -256,6 +267,14 @@ ORACLES = {
         with {_sql_points("1")}
         select threshold, round(tp / (tp + fp), 6) as precision, round(tp / all_pos, 6) as recall,
                coalesce(round(2 * (tp / (tp + fp) * (tp / all_pos)) / nullif(tp / (tp + fp) + tp / all_pos, 0), 6), 0) as f_measure from points""",
+    "merged_areas": f"""
+        with {_SCORED},
+        bins as (select score / power(2, floor(log2(score)) - 8)::double as place, floor(log2(score)) as power, "class" from scored),
+        counts as (select power, floor(place) as place, count(*) filter ("class" = 1) as pos, count(*) filter ("class" = 0) as neg
+                   from bins group by all),
+        summed as (select pos::double as pos, neg::double as neg, sum(neg) over (order by power, place) as upto from counts)
+        select round(sum(pos * (upto - neg / 2)) / (sum(pos) * sum(neg)), 9) as area_under_roc,
+               round(sum(pos * neg / 2) / (sum(pos) * sum(neg)), 9) as error, true as within from summed""",
     "areas": f"""
         with {_sql_points("1")},
         curve as (select *, lag(tp, 1, 0) over (order by threshold desc) as tp0, lag(fp, 1, 0) over (order by threshold desc) as fp0

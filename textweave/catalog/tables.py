@@ -222,6 +222,15 @@ def column_roles_with_nulls(spark: SparkSession, sf: str) -> DataFrame:
     return found.unionByName(labels).select("column", "role", "n_distinct", F.array_join("values", ",").alias("values"))
 
 
+def column_roles_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Roles from the states of seven batches; counts of the columns that were counted again."""
+    lines = load(spark, sf, "lineitem")
+    batches = [roles.role_state(lines.where(F.col("l_linenumber") == n)) for n in range(1, 8)]
+    found = roles.roles_of_state(roles.merge_role_states(*batches), lines)
+    counted = F.when(F.col("role") == "discrete", F.col("n_distinct")).alias("n_distinct")
+    return found.select("column", "role", counted, F.array_join("values", ",").alias("values"))
+
+
 def int_means(spark: SparkSession, sf: str) -> DataFrame:
     return relational.means_rounded(_labelled(spark, sf), ["n_chars", "quality", "toxic"])
 
@@ -276,6 +285,7 @@ QUERIES = {
     "plot_columns": plot_columns,
     "column_roles": column_roles,
     "column_roles_with_nulls": column_roles_with_nulls,
+    "column_roles_merged": column_roles_merged,
     "int_means": int_means,
     "int_mean_fill": int_mean_fill,
     "top_orders": top_orders,
@@ -399,3 +409,5 @@ ORACLES = {
         select user_id, count(*) as n_events, round(sum(value), 4) as value
         from events group by user_id order by n_events desc, user_id limit 20""",
 }
+ORACLES["column_roles_merged"] = f"""
+    select "column", role, case when role = 'discrete' then n_distinct end as n_distinct, "values" from ({ORACLES["column_roles"]})"""
