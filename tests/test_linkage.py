@@ -1,5 +1,6 @@
+import hashlib
 import itertools
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -73,6 +74,41 @@ def test_negative_pairs_take_all_other_groups_if_there_are_no_more(spark):
     assert k.negative_pairs(one).count() == 0
 
 
+def drawn(seed, *values):
+    given = "|".join([str(seed), *[v for v in values if v is not None]])
+    return int(hashlib.md5(given.encode()).hexdigest()[:12], 16)
+
+
+def negatives(rows, k, seed=1):
+    """The definition, one pair at a time."""
+    order = sorted(rows, key=lambda r: (drawn(seed, r[0]), r[0], drawn(seed, r[1]), r[1] or ""))
+    of = {}
+    for group, c in order:
+        of.setdefault(group, []).append(c)
+    names, found = list(of), []
+    for group, c in order:
+        for i in range(min(k, len(names) - 1)):
+            shift = (drawn(seed, c, group) % (len(names) - 1) + i) % (len(names) - 1)
+            other = of[names[(names.index(group) + 1 + shift) % len(names)]]
+            found.append((c, other[drawn(seed + 1, c, group, str(i)) % len(other)], group, 1.0, 0))
+    return Counter(found)
+
+
+@pytest.mark.parametrize("n_groups, per_member", [(2, 1), (7, 4), (7, 99), (2100, 3)])
+def test_negative_pairs_are_those_of_the_definition(spark, n_groups, per_member):
+    """Large groups, whose records no block holds, give theirs too; so do rows given twice and null records."""
+    rows = [(f"g{g}", f"c{c}") for g in range(n_groups) for c in range(1 + g % 4)] + [("g0", "c0"), ("g1", None)]
+    groups = spark.createDataFrame(rows, "group string, crime_id string")
+    expected = negatives(rows, per_member)
+    for most_held in (0, 2, 256):
+        assert Counter(map(tuple, k.negative_pairs(groups, per_member=per_member, most_held=most_held).collect())) == expected
+
+
+def test_unlinked_pairs_are_formed_after_the_shuffles(groups):
+    plan = k.negative_pairs(groups, per_member=5)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Generate explode(sequence(") < plan.index("Join")
+
+
 def test_default_number_of_negatives(groups):
     sizes = [len(m) for m in members(groups).values()]
     linked = sum(n * (n - 1) // 2 for n in sizes)
