@@ -92,3 +92,21 @@ def test_rows_given_twice_and_null_ids_are_packed(spark):
     df = odd(spark, 100)
     rows = window_packing.pack(df, WORDS).toPandas()
     assert (rows.doc_id == 4).sum() >= 2 and rows.doc_id.isna().any()
+
+
+def test_a_word_is_looked_up_once_in_a_slice_of_texts():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            self.asked += 1
+            return super().get(*args)
+
+    tokens = window_packing.Tokens(WORDS)
+    tokens.place = Counted()
+    texts = [b"one two. " * 500, None, b"", b" \x0b\t", b"\ntwo.\x0cone\r" * 500, "\xa0\x1cone\x85".encode()]
+    found = [(ids.tolist(), stops.tolist()) for ids, stops in tokens.encode(texts)]
+    assert tokens.place.asked == 3
+    for text, (ids, stops) in zip(texts, found, strict=True):
+        assert ids == tokens.tokenizer.encode((text or b"").decode(), add_special_tokens=False).ids
+        assert len(stops) == (text or b"").count(b"two.")

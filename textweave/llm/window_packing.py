@@ -28,6 +28,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -120,26 +121,37 @@ class Tokens:
         self.place.update(zip(words, range(n, n + len(words)), strict=True))
         self.used += len(flat)
 
-    def encode(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Of each text its ids, and the places after those that end a sentence."""
-        split = [(text or b"").split() for text in texts]
-        words = list(chain.from_iterable(split))
+    def encode(self, texts: pa.Array | list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each binary text its ids, and the places after those that end a sentence.
+
+        Words stay in Arrow; only those that differ become Python objects.
+        """
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.binary())
+        split = pc.ascii_split_whitespace(texts.view(pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()))
+        words, counts = split.flatten(), pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+        given = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # blanks at the ends of a text leave empty words
+        word_ends = np.r_[0, np.cumsum(given)][np.cumsum(counts)]
+        coded = words.filter(pa.array(given)).dictionary_encode()
+        different = coded.dictionary.view(texts.type).to_pylist()
         if len(self.place) > MOST_WORDS:
             self.clear()
-        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(at < 0).tolist()
-        if new:
-            self.add(list(dict.fromkeys(words[i] for i in new)))
-            at[new] = [self.place[words[i]] for i in new]
-        end = 0
-        for own in split:
-            here = at[end : end + len(own)]
-            end += len(own)
-            sizes = self.size[here]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = self.ids[np.repeat(self.start[here] - ends + sizes, sizes) + np.arange(total)]
-            yield ids, ends[self.stop[here]]
+        at = np.fromiter(map(self.place.get, different, repeat(-1)), np.int64, len(different))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = np.arange(len(new)) + len(self.place)
+            self.add([different[i] for i in new.tolist()])
+        at = at[coded.indices.to_numpy(zero_copy_only=False)]
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        bounds = np.r_[0, ends][word_ends].tolist()
+        ids = self.ids[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(bounds[-1] if bounds else 0)]
+        stops = ends[self.stop[at]]
+        stop_bounds = np.searchsorted(stops, bounds, side="right").tolist()
+        begin = stop_begin = 0
+        for end, stop_end in zip(bounds, stop_bounds, strict=True):
+            yield ids[begin:end], stops[stop_begin:stop_end] - begin
+            begin, stop_begin = end, stop_end
 
 
 @lru_cache(maxsize=2)
@@ -258,8 +270,8 @@ def pack(
         for batch in batches:
             kind = batch.column(0).type
             for piece in pieces(batch):
-                for key, (ids, stops) in zip(piece.column(0).to_pylist(), tokens.encode(piece.column(1).to_pylist()), strict=True):
-                    held.append((key, np.r_[ids, np.uint32(settings.end_id)].astype(np.uint32), stops[stops < len(ids)]))
+                for key, (ids, stops) in zip(piece.column(0).to_pylist(), tokens.encode(piece.column(1)), strict=True):
+                    held.append((key, np.append(ids, np.uint32(settings.end_id)), stops[stops < len(ids)]))
                     size += len(ids) + 1
                     if size >= settings.block:
                         yield flush()
