@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -146,3 +147,13 @@ def test_a_rare_domain_reaches_its_target(spark):
     assert abs(one.rate * 100 - one.aims[1]) < 0.01 * one.aims[1] and abs(one.reached[1] - one.aims[1]) < 0.01 * one.aims[1]
     capped = soft_mixing.fitted_rates(members, {"a": 0.95, "b": 0.05}, most=16.0).filter("doc_id = 0").first()
     assert capped.rate == 16 and abs(capped.reached[1] - 1600) < 1
+
+
+def test_learning_holds_only_the_places_that_are_learned():
+    texts = ["bad words here"] * 8 + ["good words there"] * 8
+    tracemalloc.start()
+    at, weights, _ = ftrl_toxicity.learn(texts, [1] * 8 + [0] * 8, Settings())
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(at) and peak < 4 << 20
+    assert len(ftrl_toxicity.learn([], [], Settings())[0]) == 0

@@ -68,14 +68,14 @@ def features_of(text: str, hashes, bits: int) -> np.ndarray:
 
 def learn(texts: list[str], labels: list[int], settings: Settings) -> tuple[np.ndarray, np.ndarray, float]:
     """Places, weights and bias after some passes over the texts in the given order."""
-    n_places, hashes = 1 << settings.bits, word_hashes()
-    z, n = np.zeros(n_places), np.zeros(n_places)
+    hashes = word_hashes()
     l1 = max(0.5, settings.l1_per_row * len(texts))
     rows = [features_of(t, hashes, settings.bits).astype(np.int32) for t in texts]
-    seen = np.zeros(n_places, np.int32)
-    for at in rows:
-        seen[at] += 1
-    rows = [at[seen[at] >= settings.least_seen] for at in rows]
+    # Only places that enough texts have are kept, numbered in their order.
+    places, seen = np.unique(np.concatenate([np.zeros(0, np.int32), *rows]), return_counts=True)
+    places = places[seen >= settings.least_seen]
+    rows = [np.searchsorted(places, at[np.isin(at, places, assume_unique=True)]).astype(np.int32) for at in rows]
+    z, n = np.zeros(len(places)), np.zeros(len(places))
     bias = squares = 0.0
 
     def weights(at: np.ndarray) -> np.ndarray:
@@ -93,7 +93,7 @@ def learn(texts: list[str], labels: list[int], settings: Settings) -> tuple[np.n
             squares += gap * gap
             bias -= settings.alpha / (settings.beta + np.sqrt(squares)) * gap
     at = np.flatnonzero(np.abs(z) > l1)
-    return at, weights(at), bias
+    return places[at].astype(np.int64), weights(at), bias
 
 
 def fit(labelled: DataFrame, docs: DataFrame, settings: Settings = Settings()) -> dict[int, float]:
