@@ -74,7 +74,10 @@ def learn(texts: list[str], labels: list[int], settings: Settings) -> tuple[np.n
     # Only places that enough texts have are kept, numbered in their order.
     places, seen = np.unique(np.concatenate([np.zeros(0, np.int32), *rows]), return_counts=True)
     places = places[seen >= settings.least_seen]
-    rows = [np.searchsorted(places, at[np.isin(at, places, assume_unique=True)]).astype(np.int32) for at in rows]
+    after = np.r_[places, -1]  # a place beyond the last one is none of them
+    for i, at in enumerate(rows):
+        near = np.searchsorted(places, at)
+        rows[i] = near[after[near] == at].astype(np.int32)
     z, n = np.zeros(len(places)), np.zeros(len(places))
     bias = squares = 0.0
 
