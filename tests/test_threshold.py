@@ -62,6 +62,37 @@ def test_only_pairs_within_the_bound_are_formed(spark):
     assert [tuple(r) for r in met.collect()] == [(7, 300)]
 
 
+def test_blocks_change_nothing(spark, monkeypatch):
+    df = spark.createDataFrame(made(3, 60), "key int, token string, weight double")
+    whole = {tuple(r)[:2] for r in threshold.similar_records(df, "key", 0.6).pairs.collect()}
+    monkeypatch.setattr(threshold, "BLOCK_TOKENS", 40)
+    assert {tuple(r)[:2] for r in threshold.similar_records(df, "key", 0.6).pairs.collect()} == whole
+
+
+def test_few_pairs_are_compared_in_full():
+    """What two vectors share in their prefixes, and the lengths beyond, leave few pairs but those that reach the threshold."""
+    rng = np.random.default_rng(2)
+    vectors = [np.unique(rng.integers(0, 3000, 60)) for _ in range(150)]
+    vectors += [np.unique(np.r_[v[:50], rng.integers(0, 3000, 10)]) for v in vectors]
+    weights = 1.0 / np.sqrt(1.0 + np.arange(3000) / 300)
+    sizes = [len(v) for v in vectors]
+    flat = np.concatenate(vectors)
+    lengths = np.array([np.sqrt((weights[v] ** 2).sum()) for v in vectors])
+    block = threshold.Block(None, np.r_[0, np.cumsum(sizes)], flat, weights[flat], lengths)
+    other = threshold.Block(*block)
+    table = np.zeros((len(vectors), 3000))
+    for row, v in zip(table, vectors, strict=True):
+        row[v] = weights[v]
+    exact = table @ table.T / np.outer(lengths, lengths)
+    for most in (100, 1_000_000):
+        for right, all_pairs in ((block, np.triu(exact, 1)), (other, exact)):
+            left = list(threshold.block_pairs(block, right, 0.7, most))
+            i, j, cosine = (np.concatenate(x) for x in zip(*threshold.block_cosines(block, right, iter(left)), strict=True))
+            assert np.allclose(cosine, exact[i, j])
+            near = set(zip(*np.nonzero(all_pairs >= 0.7 + 1e-9), strict=True))
+            assert near <= set(zip(i, j, strict=True)) and len(i) == len(set(zip(i, j, strict=True))) <= 2 * len(near)
+
+
 def test_thresholds_and_empty_tables(spark):
     empty = spark.createDataFrame([], "key string, token string, weight double")
     assert threshold.similar_records(empty, "key", 0.5).pairs.count() == 0
