@@ -110,3 +110,14 @@ def test_a_word_is_looked_up_once_in_a_slice_of_texts():
     for text, (ids, stops) in zip(texts, found, strict=True):
         assert ids == tokens.tokenizer.encode((text or b"").decode(), add_special_tokens=False).ids
         assert len(stops) == (text or b"").count(b"two.")
+
+
+def test_words_that_come_again_stay_when_the_table_is_full(monkeypatch):
+    monkeypatch.setattr(window_packing, "MOST_WORDS", 8)
+    tokens = window_packing.Tokens(WORDS)
+    batches = [[f"often again word{n}a Word{n}b. {n}".encode(), b"often"] for n in range(12)]
+    for batch in batches:
+        found = [ids.tolist() for ids, _ in tokens.encode(batch)]
+        assert found == [tokens.tokenizer.encode(text.decode(), add_special_tokens=False).ids for text in batch]
+        assert len(tokens.place) <= 8 + 5
+    assert {b"often", b"again"} <= set(tokens.place)

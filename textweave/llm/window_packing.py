@@ -37,8 +37,10 @@ from pyspark.sql import functions as F
 from textweave.llm.token_counts import byte_letters
 from textweave.llm.words import Cached, pieces
 
-#: Words kept in a worker's memory before the table is started anew.
-MOST_WORDS = 1_000_000
+#: Words kept in a worker's memory before those that came in one batch only are given up.
+MOST_WORDS = 400_000
+#: Pre-tokens kept with their ids; they are needed for new words only.
+MOST_PRE_TOKENS = 100_000
 
 
 @dataclass(frozen=True)
@@ -81,7 +83,7 @@ class Tokens:
         lower = given["normalizer"]["normalizers"][-1] == {"type": "Lowercase"}
         self.known_form = cut == PRE_TOKENS and lower and all("<" in t["content"] for t in given["added_tokens"])
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
-        self.pre = Cached(self.model_ids)
+        self.pre = Cached(self.model_ids, MOST_PRE_TOKENS)
         self.clear()
 
     def clear(self) -> None:
@@ -89,6 +91,21 @@ class Tokens:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.stop, self.used = np.zeros(1 << 14, bool), 0
+        self.again = np.zeros(1 << 14, bool)
+
+    def keep_frequent(self) -> None:
+        """Give up the words that did not come again; all of them where most did."""
+        words, old = list(self.place), (self.ids, self.start, self.size, self.stop)
+        kept = np.flatnonzero(self.again[: len(words)])
+        self.clear()
+        if not 0 < len(kept) <= MOST_WORDS // 2:
+            return
+        ids, start, size, stop = old
+        sizes = size[kept]
+        ends = np.cumsum(sizes)
+        self.ids, self.used = ids[np.repeat(start[kept] - ends + sizes, sizes) + np.arange(ends[-1])], int(ends[-1])
+        self.start, self.size, self.stop, self.again = ends - sizes, sizes, stop[kept], np.zeros(len(kept), bool)
+        self.place = {words[i]: n for n, i in enumerate(kept.tolist())}
 
     def model_ids(self, pre_token: str) -> list[int]:
         if not pre_token.isascii():
@@ -110,9 +127,9 @@ class Tokens:
         found = list(map(self.word_ids, words))
         n, flat = len(self.place), list(chain.from_iterable(found))
         while n + len(words) > len(self.start):
-            self.start, self.size, self.stop = (np.r_[x, np.zeros_like(x)] for x in (self.start, self.size, self.stop))
+            self.start, self.size, self.stop, self.again = (np.r_[x, np.zeros_like(x)] for x in (self.start, self.size, self.stop, self.again))
         while self.used + len(flat) > len(self.ids):
-            self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
+            self.ids = np.r_[self.ids, np.zeros(max(len(self.ids), 1 << 16), np.uint32)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.ids[self.used : self.used + len(flat)] = flat
         self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
@@ -135,9 +152,10 @@ class Tokens:
         coded = words.filter(pa.array(given)).dictionary_encode()
         different = coded.dictionary.view(texts.type).to_pylist()
         if len(self.place) > MOST_WORDS:
-            self.clear()
+            self.keep_frequent()
         at = np.fromiter(map(self.place.get, different, repeat(-1)), np.int64, len(different))
         new = np.flatnonzero(at < 0)
+        self.again[at[at >= 0]] = True
         if len(new):
             at[new] = np.arange(len(new)) + len(self.place)
             self.add([different[i] for i in new.tolist()])
@@ -245,6 +263,7 @@ def pack(
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length"]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker have left
         tokens = loaded(vocabulary)
         task = TaskContext.get()
         sequences = (task.partitionId() if task else 0) << 36
