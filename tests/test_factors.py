@@ -52,6 +52,43 @@ def test_word_vectors_span_what_the_exact_ones_span(spark):
     assert ours @ ours.T == pytest.approx(basis[:, best] * np.abs(values[best]) @ basis[:, best].T, abs=1e-5)
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 23])
+def test_pairs_are_counted_where_texts_are_read(spark, monkeypatch, bits):
+    """Few rows leave the texts, whether or not the hash tells rare words; nulls hold their places."""
+    monkeypatch.setattr(factors, "HASH_BITS", bits)
+    monkeypatch.setattr(factors, "COUNTED_TOKENS", 200)
+    texts = [*texts_of(200, 30), ["x", None, "x", "é"] * 3, ["é"] * 5, *[[f"once{i}", "x"] for i in range(50)]]
+    df = spark.createDataFrame([(t,) for t in texts], "tokens array<string>").repartition(3)
+    counts = factors.cooccurrences(df, "tokens", 3, 4)
+    want = cooccurring([[w if w is not None else f"null{i}-{j}" for j, w in enumerate(t or [])] for i, t in enumerate(texts)], 3, 4)
+    assert {(r.word, r.context): r.n for r in counts.collect()} == want
+    plan = counts._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("size", [7, 1 << 20])
+def test_products_in_blocks(spark, size):
+    """Vectors meet blocks of entries; no entry is joined with a vector of its own."""
+    rng = np.random.default_rng(8)
+    entries = [(None if i == 0 else f"r{i}", j, float(rng.normal())) for i in range(12) for j in range(9) if rng.random() < 0.5]
+    entries += [("r3", 4, 0.5), ("r3", 4, 0.25), ("r4", None, 3.0)]
+    table = spark.createDataFrame(entries, "row string, column int, value double")
+    matrix = factors.in_blocks(table, "row", "column", size)
+    assert (matrix.blocks.count() > 3) == (size == 7)
+    right = spark.createDataFrame([(j, [float(j), 1.0 - j]) for j in range(9)], "column int, x array<double>")
+    left = spark.createDataFrame([(f"r{i}", [i + 0.5, -1.0 * i]) for i in range(1, 12)], "row string, x array<double>")
+    want, turned = {}, {}
+    for r, c, v in entries:
+        if c is not None:
+            want[r] = want.get(r, 0) + v * np.array([c, 1.0 - c])
+            i = int(r[1:]) if r else 0
+            turned[c] = turned.get(c, 0) + v * np.array([i + 0.5, -1.0 * i]) * (r is not None)
+    got = {r.row: r.x for r in factors.product(matrix, right, 2, "row", "column").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    got = {r.column: r.x for r in factors.product(matrix, left, 2, "column", "row", turned=True).collect()}
+    assert got.keys() == turned.keys() and all(got[k] == pytest.approx(turned[k]) for k in turned)
+
+
 def test_word_vectors_of_nothing(spark):
     empty = spark.createDataFrame([], "word string, context string, weight double")
     assert factors.word_vectors(empty, 3).count() == 0
