@@ -6,6 +6,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from textweave.catalog import linking
 from textweave.plans import linkage as k
 from textweave.plans import similarity
 from textweave.operators import learn
@@ -225,6 +226,28 @@ def test_link_reports(spark):
     assert {r.model for r in rows} == {"logistic", "bayes"} and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_linkage_scores_draws_the_default_number_of_unlinked_pairs(spark, tmp_path, monkeypatch):
+    """Twenty parts with eight orders each: 28 linked pairs a group, so every member is paired with all 19 other groups."""
+    lines = [(100 * part + i, part) for part in range(1, 21) for i in range(8)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "red blue")], "p_partkey bigint, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    orders = spark.createDataFrame([(o, o) for o, _ in lines], "o_orderkey bigint, o_custkey bigint")
+    orders.withColumn("o_orderdate", F.lit("1999-01-02").cast("date")).write.parquet(f"{tmp_path}/orders.parquet")
+    made = []
+
+    class Reached(Exception):
+        pass
+
+    def stopped(pairs, *_):
+        made.append(pairs)
+        raise Reached
+
+    monkeypatch.setattr(k, "pair_features", stopped)
+    with pytest.raises(Reached):
+        linking.linkage_scores(spark, str(tmp_path))
+    assert {r["class"]: r["count"] for r in made[0].groupBy("class").count().collect()} == {0: 160 * 19, 1: 20 * 28}
+
+
 def test_candidate_pairs_reuse_the_training_scale(spark):
     df = k.report_features(reports(spark)).withColumn("block", F.col("locationType"))
     known, new = df.where("ordinalDate % 3 = 0"), df.where("ordinalDate % 3 > 0")
