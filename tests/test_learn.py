@@ -49,6 +49,17 @@ def test_recommend(spark):
     assert learn.recommend(df, "u", "i", "r", rank=2, maxIter=2).table.count() == 20
 
 
+def test_blocks_of_ratings_grow_with_them(spark, monkeypatch):
+    assert [learn.rating_blocks(n) for n in (0, 600_000, 12_000_000, 216_000_000)] == [10, 10, 21, 55]
+    asked = []
+    monkeypatch.setattr(learn, "fit_transform", lambda df, stage, **params: asked.append(params))
+    df = spark.range(12_000_000).selectExpr("cast(id % 99 as int) u", "cast(id % 77 as int) i", "1f r")
+    learn.recommend(df, "u", "i", "r")
+    learn.recommend(df, "u", "i", "r", numUserBlocks=3)
+    assert (asked[0]["numUserBlocks"], asked[0]["numItemBlocks"]) == (21, 21)
+    assert asked[1]["numUserBlocks"] == 3 and "numItemBlocks" not in asked[1]
+
+
 def test_tuning(table):
     grid = {"regParam": [0.0, 10.0], "elasticNetParam": [0.0]}
     best = learn.tune(table, LogisticRegression(maxIter=5), grid, BinaryClassificationEvaluator(), folds=2)
