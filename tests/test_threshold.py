@@ -1,6 +1,7 @@
 """Threshold joins against all pairs compared plainly; splits against components found plainly."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textweave.plans import splits, threshold
@@ -69,6 +70,34 @@ def test_blocks_change_nothing(spark, monkeypatch):
     assert {tuple(r)[:2] for r in threshold.similar_records(df, "key", 0.6).pairs.collect()} == whole
 
 
+def test_vectors_are_shuffled_once_whatever_the_number_of_blocks(spark, monkeypatch):
+    """A block is sent to the tasks; the vectors that meet it are read, not dealt out to it."""
+    written = []
+    frame = type(spark.range(0))
+    real = frame.mapInArrow
+
+    def seen(self, *given, **named):
+        out = real(self, *given, **named)
+        if "cosine" in out.columns:
+            written.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", seen)
+    monkeypatch.setattr(threshold, "BLOCK_TOKENS", 100)
+    df = spark.createDataFrame(made(3, 60), "key int, token string, weight double")
+    threshold.similar_records(df, "key", 0.6).pairs.count()
+    assert len(written) > 3 and not any("Exchange" in plan for plan in written)
+
+
+def test_reads_are_gathered_by_tokens(monkeypatch):
+    monkeypatch.setattr(threshold, "READ_TOKENS", 10)
+    sizes = [[3, 4, 2, 9], [12, 1], [], [1, 1, 1]]
+    batches = [pa.RecordBatch.from_pydict({"codes": pa.array([list(range(n)) for n in s], pa.list_(pa.int32()))}) for s in sizes]
+    found = [[len(x) for x in t.column("codes").to_pylist()] for t in threshold._gathered(iter(batches))]
+    assert [n for t in found for n in t] == [n for s in sizes for n in s]
+    assert all(sum(t) <= 10 or len(t) == 1 or sum(t[:-1]) <= 10 for t in found) and len(found) >= 3
+
+
 def test_few_pairs_are_compared_in_full():
     """What two vectors share in their prefixes, and the lengths beyond, leave few pairs but those that reach the threshold."""
     rng = np.random.default_rng(2)
