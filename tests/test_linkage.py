@@ -110,6 +110,15 @@ def test_unlinked_pairs_are_formed_after_the_shuffles(groups):
     assert plan.index("Generate explode(sequence(") < plan.index("Join")
 
 
+def test_tasks_of_unlinked_pairs_are_counted_by_pairs(groups, monkeypatch):
+    """Few rows are shuffled and many pairs are made of them: Spark must not merge the tasks by their bytes."""
+    monkeypatch.setattr(k, "TASK_PAIRS", 10)
+    found = k.negative_pairs(groups, per_member=5)
+    assert found.count() == groups.count() * 5
+    executed = found._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-groups.count() * 5 // 10)}), REPARTITION_BY_NUM" in executed
+
+
 def test_default_number_of_negatives(groups):
     sizes = [len(m) for m in members(groups).values()]
     linked = sum(n * (n - 1) // 2 for n in sizes)
